@@ -54,7 +54,8 @@ def patches(
         F.col(order).alias("_order"),
     ).where(F.col("ts").isNotNull() & F.col("value").isNotNull() & F.col("value").rlike(rf"[^{UNSEEN}]"))
     return (
-        said.withColumn("period", F.floor(F.col("ts") / F.lit(period_us)))
+        # the period can't be null; saying so keeps both readers of the patches on one shuffle
+        said.withColumn("period", F.coalesce(F.floor(F.col("ts") / F.lit(period_us)), F.lit(0)))
         .repartition("entity", "attribute", "period")
         .groupBy("entity", "attribute", "period", "ts")
         .agg(F.max_by("value", "_order").alias("value"))
