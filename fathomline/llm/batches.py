@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text, and rows, that a task handles at a time. A single longer text is handled alone.
-SLICE_BYTES, SLICE_ROWS = 4_000_000, 2000
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 2000
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import datetime
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,9 +167,8 @@ _ADDRESS_GATES = (
     ("rue ", "avenue ", "av. ", "impasse ", "boulevard ", "bd ", "place ", "chemin ", "allée ", "quai ", "route ", "cours ", "passage ", "sentier "),
     ("calle ", "c/ ", "avda", "av. ", "avenida ", "plaza ", "pza", "paseo ", "camino ", "ronda ", "travesía ", "carrera ", "glorieta "),
 )
-ADDRESSES = tuple(
-    (gate, re.compile(rf"(?<![\w=.-])(?:{p})", re.I), s) for gate, (p, s) in zip(_ADDRESS_GATES, _ADDRESSES, strict=True)
-)
+ADDRESSES = tuple((re.compile(rf"(?<![\w=.-])(?:{p})", re.I), s) for p, s in _ADDRESSES)
+_HAN_HOUSE = re.compile(r"[0-9](?:号|组|弄)")
 _AREA = rf"(?:[{_HAN}]{{2,4}}?(?:省|自治区))?(?:[{_HAN}]{{2,4}}?[市县州])?(?:[{_HAN}]{{2,4}}?[区镇乡县])?"
 _HOUSE = rf"(?:[0-9]+|[{_HAN}]{{2,4}}?(?:大厦|小区|广场|花园|公寓|院))?(?:(?:[0-9]+|[A-Z])(?:号院|号楼|号|弄|组|单元|栋|幢|座|层|室|楼|房)?)*"
 _ROAD = rf"[{_HAN}]{{2,4}}?(?:大道|路|街|巷|胡同|村|弄)"
@@ -238,8 +238,7 @@ _CUES = (
     (("用户", "客户", "同事"), r"(?:用户|客户|同事)", r"(?=反馈|反映|报告|投诉|表示|来电|提到|多次|遇到|无法|说|登录)", 0.6),
 )
 CUES = tuple(
-    (words, re.compile(cue.replace("TITLE", _TITLES) + _NAME + after, re.I | re.M), score)
-    for words, cue, after, score in _CUES
+    (re.compile(cue.replace("TITLE", _TITLES) + _NAME + after, re.I | re.M), score) for _, cue, after, score in _CUES
 )
 #: Lists of people after a role.
 NAME_LIST = re.compile(r"(?:审批人|参与人|抄送人|值班人|参会人)[：: ]{0,2}(?P<list>[^，。；！\n]{2,120})")
@@ -295,18 +294,51 @@ _SAYS_OTHER = re.compile(
 _KIND_ORDER = {k: i for i, k in enumerate(KINDS)}
 
 
+# --- gates -------------------------------------------------------------------
+
+#: Bits of the patterns that a text's words make worth trying.
+_BY_EMAIL, _BY_DOT, _BY_WORDS, _BY_HAN, _BY_LIST, _BY_BEHIND = (1 << i for i in range(6))
+_BY_ADDRESS = 1 << 8
+_BY_CUE = 1 << 16
+
+
+def _gate_words() -> ahocorasick.Automaton:
+    """All words that open a gate, in one automaton, so that a text is searched for them once."""
+    gates: dict[str, int] = {}
+    groups = [
+        (_BY_EMAIL, ("@", "%40", "[at", "(at", "[ at", "( at")),
+        (_BY_DOT, (" dot ",)),
+        (_BY_WORDS, _WORD_GATE),
+        (_BY_HAN, ("号", "组", "弄")),
+        (_BY_LIST, ("批人", "与人", "送人", "班人", "会人")),
+        (_BY_BEHIND, ("signed off", "approved", "acknowledged", "confirmed", "freigabe", "validé", "aprobó")),
+        (_BY_BEHIND, ("老师", "先生", "女士", "同学", "经理", "工程师", "师傅", "主任")),
+        *((_BY_ADDRESS << i, words) for i, words in enumerate(_ADDRESS_GATES)),
+        *((_BY_CUE << i, words) for i, (words, *_) in enumerate(_CUES)),
+    ]
+    for bit, words in groups:
+        for word in words:
+            gates[word] = gates.get(word, 0) | bit
+    automaton = ahocorasick.Automaton()
+    for word, bits in gates.items():
+        automaton.add_word(word, bits)
+    automaton.make_automaton()
+    return automaton
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 26) : start], text[end : end + 12]
 
 
-_SOME_DIGITS = re.compile(r"[0-9](?:[ ./()-]{0,2}[0-9]){5}")
+#: Six digits that don't begin a time.
+_SOME_DIGITS = re.compile(r"(?<![0-9])(?<![0-9]-)(?![0-9]{4}-[0-9]{2}-[0-9]{2}T)[0-9](?:[ ./()-]{0,2}[0-9]){5}")
 _SOME_WORDS = re.compile(rf"(?:{_NUMBER_WORD})[ -](?:{_NUMBER_WORD})[ -]|[零〇一二三四五六七八九幺]{{7}}", re.I)
-_WORD_GATE = tuple(f"{w}{sign}" for w in _NUMBER_WORD.split("|") if w not in ("oh", "one") for sign in " -")
+_WORD_GATE = (*(f"{w}{sign}" for w in _NUMBER_WORD.split("|") if w not in ("oh", "one") for sign in " -"), *"零〇幺")
 
 
-def _numbers(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
+def _numbers(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
     digits = _SOME_DIGITS.search(text)
-    if not digits and not ((not low.isascii() or any(w in low for w in _WORD_GATE)) and _SOME_WORDS.search(text)):
+    if not digits and not (gates & _BY_WORDS and _SOME_WORDS.search(text)):
         return
     for m in PHONE.finditer(text):
         before, after = _context(text, *m.span())
@@ -339,9 +371,9 @@ def _numbers(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
             yield "id_number", *m.span(), score
 
 
-def _addresses(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
-    for gate, pattern, base in ADDRESSES:
-        for m in pattern.finditer(text) if any(w in low for w in gate) else ():
+def _addresses(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
+    for i, (pattern, base) in enumerate(ADDRESSES):
+        for m in pattern.finditer(text) if gates & _BY_ADDRESS << i else ():
             before = text[max(0, m.start() - 30) : m.start()]
             score = base
             if re.search(r"lives at|mounted at|ship|deliver|address|located|geht an|wohnt|anschrift|trouve au|adresse|habite|está en|dirección|vive en|, $|: $", before, re.I):
@@ -351,14 +383,14 @@ def _addresses(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
             if m.group().islower():
                 score -= 0.3
             yield "address", *m.span(), score
-    if "号" in text or "组" in text or "弄" in text:
+    if gates & _BY_HAN and _HAN_HOUSE.search(text):
         for m in ADDRESS_HAN.finditer(text):
             yield "address", *m.span("span"), 0.9
 
 
-def _names(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
-    for words, pattern, base in CUES:
-        if any(w in low for w in words):
+def _names(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
+    for i, (pattern, base) in enumerate(CUES):
+        if gates & _BY_CUE << i:
             at = 0
             while m := pattern.search(text, at):
                 name, (start, end) = m.group("name"), m.span("name")
@@ -367,13 +399,13 @@ def _names(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
                     score += 0.1
                 yield "name", start, end, score
                 at = start + 1
-    for m in NAME_LIST.finditer(text):
+    for m in NAME_LIST.finditer(text) if gates & _BY_LIST else ():
         at = m.start("list")
         for item in re.split("([、&/]| and )", m.group("list")):
             if name := _WHOLE_NAME.match(item):
                 yield "name", at, at + name.end(), 0.6 + _name_score(item)
             at += len(item)
-    for m in BEHIND.finditer(text):
+    for m in BEHIND.finditer(text) if gates & _BY_BEHIND else ():
         base = max(0, m.start() - 60)
         if found := _BEFORE_CUE.search(text[base : m.start()]):
             start, name = base + found.start(), found.group()
@@ -393,6 +425,9 @@ def _names(text: str, low: str) -> Iterator[tuple[str, int, int, float]]:
             yield "name", start, m.start(), 0.5 + _name_score(name)
 
 
+GATES = _gate_words()
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     """The personal information in a text: (start, end, kind, score) in order, without overlaps."""
     if not text:
@@ -401,12 +436,18 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     low = plain.lower()
     if len(low) != len(plain):
         low = plain
+    gates = 0
+    for _, bits in GATES.iter(low):
+        gates |= bits
     found: list[tuple[str, int, int, float]] = []
-    if "@" in plain or "%40" in plain or "at" in low:
+    if gates & (_BY_EMAIL | _BY_DOT):
         found += (("email", *m.span(), 0.95) for m in EMAIL.finditer(plain))
-    found += _numbers(plain, low)
-    found += _addresses(plain, low)
-    found += _names(plain, low)
+    found += _numbers(plain, gates)
+    if gates:
+        found += _addresses(plain, gates)
+        found += _names(plain, gates)
+    if not found:
+        return []
     kept: list[tuple[int, int, str, float]] = []
     strong = (x for x in found if x[3] >= THRESHOLD - 1e-9)
     for kind, start, end, score in sorted(strong, key=lambda x: (_KIND_ORDER[x[0]] > 0, -x[3], -(x[2] - x[1]), _KIND_ORDER[x[0]])):
