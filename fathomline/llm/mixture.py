@@ -5,8 +5,8 @@ targets: each source's budget of tokens follows from its share. Within a
 source every document has the same expected number of copies, budget by
 available tokens: its whole part is certain, its fraction is an inclusion
 probability. Documents are ranked by Pareto order, the odds of a uniform hash
-divided by the odds of inclusion, and the first ones are taken until their
-tokens reach the rest of the budget.
+divided by the odds of inclusion, and the first ones are taken as long as their
+tokens fit into the rest of the budget; one further document fills what is left.
 
 The rank is cut into bins by the uniform number. Only the sums of bins are
 added up per source, and only the bin in which a budget ends is sorted, so no
@@ -125,25 +125,31 @@ def mixture(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     )
     placed = ranked.join(bins, ["source", "bin"], "left")
     inside = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "copy")
-    ends_here = F.col("before") + F.col("in_bin") > F.col("rest")
-    sorted_bin = (
-        placed.where(ends_here)
-        .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        # the document that crosses the budget is taken if that comes nearer to it
-        .withColumn("extra", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
-        .drop("upto")
-    )
-    others = placed.where(~F.coalesce(ends_here, F.lit(False))).withColumn(
-        "extra", F.col("before").isNotNull().cast("int")
-    )
+    ends_here = F.coalesce(F.col("before") + F.col("in_bin") > F.col("rest"), F.lit(False))
+    upto = F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    sorted_bin = placed.where(ends_here).withColumn("extra", (upto <= F.col("rest")).cast("int"))
+    others = placed.where(~ends_here).withColumn("extra", F.col("before").isNotNull().cast("int"))
+    chosen = sorted_bin.unionByName(others).select("doc_id", "copy", "source", "n_tokens", "uniform", "whole", "part", "extra")
+    filling = _filling(chosen, planned)
     return (
-        sorted_bin.unionByName(others)
-        .withColumn("copies", F.col("whole") + F.col("extra"))
+        chosen.join(filling, ["source", "doc_id", "copy"], "left")
+        .withColumn("copies", F.col("whole") + F.greatest(F.col("extra"), F.coalesce("fills", F.lit(0))))
         .where(F.col("copies") > 0)
         .select("doc_id", "copy", "source", "n_tokens", "copies")
     )
 
 
+def _filling(chosen: DataFrame, planned: DataFrame) -> DataFrame:
+    """``source, doc_id, copy, fills``: of each source the document left out that fills the rest of its budget best, if one brings it nearer."""
+    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("whole") + F.col("extra"))).alias("used"))
+    gaps = F.broadcast(planned.select("source", "budget").join(used, "source").withColumn("gap", F.col("budget") - F.col("used")))
+    left_out = chosen.where((F.col("part") > 0) & (F.col("extra") == 0)).join(gaps, "source")
+    off = F.abs(F.col("gap") - F.col("n_tokens"))
+    best = F.min_by(F.struct("doc_id", "copy"), F.struct(off.alias("off"), F.col("uniform"), F.col("doc_id"), F.col("copy")))
+    fits = left_out.where(off < F.col("gap")).groupBy("source").agg(best.alias("b"))
+    return F.broadcast(fits.select("source", F.col("b.doc_id").alias("doc_id"), F.col("b.copy").alias("copy"), F.lit(1).alias("fills")))
+
+
 def sized(docs: DataFrame, wanted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, copy, source, n_tokens`` of all documents of weighted sources that have tokens; written once.
 
