@@ -114,25 +114,33 @@ def _with_state(candidates: DataFrame, state: DataFrame, n_state: int) -> DataFr
     return salted.join(every, ["search", "salt"]).drop("salt")
 
 
+def daily_and_all(partials: DataFrame) -> DataFrame:
+    """``day, grp, value, n``: the partial result of each day, and all of them put together as the day 'all'."""
+    days = partials.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "grp", "value", "n")
+    return days.unionByName(combine(partials).withColumn("day", F.lit("all")))
+
+
 def select(
-    counted: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, sorted_values: int = SORTED_VALUES
+    counted: DataFrame,
+    keys: tuple[str, ...] = ("grp",),
+    percentiles: tuple[float, ...] = PERCENTILES,
+    sorted_values: int = SORTED_VALUES,
 ) -> DataFrame:
-    """``grp, percentile, value, n_values``: of each group the value at rank ceil(percentile * n), from ``grp, value, n``."""
+    """Keys and ``percentile, value, n_values``: of each group the value at rank ceil(percentile * n), from keys and ``value, n``."""
     base = cut(counted)
     wanted = F.explode(F.array(*map(F.lit, percentiles)))
     groups = cut(
-        base.groupBy("grp")
+        base.groupBy(*keys)
         .agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
         .withColumn("percentile", wanted)
         # 1e-9 keeps products such as 0.95 * 20 from being lifted over a whole number
         .withColumn("rank", F.greatest(F.ceil(F.col("percentile") * F.col("total") - 1e-9), F.lit(1)))
-        .withColumn("search", F.xxhash64("grp", "percentile"))
+        .withColumn("search", F.xxhash64(*keys, "percentile"))
     )
     found = []
-    state = groups.select("search", "grp", "rank", "distinct")
-    n_state = state.count()
-    searched = state if n_state <= BROADCAST_ROWS else None
-    joined = base.join(F.broadcast(searched), "grp") if searched is not None else base.join(state, "grp")
+    state = groups.select("search", *keys, "rank", "distinct")
+    small_state = state.count() <= BROADCAST_ROWS
+    joined = base.join(F.broadcast(state) if small_state else state, list(keys))
     candidates = joined.select("search", "value", "n", "rank", "distinct")
     while True:
         small = candidates.where(F.col("distinct") <= sorted_values)
@@ -185,4 +193,4 @@ def select(
     values = found[0]
     for more in found[1:]:
         values = values.unionByName(more)
-    return groups.join(values, "search").select("grp", "percentile", "value", F.col("total").alias("n_values"))
+    return groups.join(values, "search").select(*keys, "percentile", "value", F.col("total").alias("n_values"))

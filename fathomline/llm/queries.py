@@ -48,7 +48,8 @@ def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _percentiles(spark: SparkSession, sf_dir: str, rank_error: float) -> DataFrame:
     days = percentiles.day_partials(_latencies(spark, sf_dir), "service", "latency_ms", "day", rank_error)
-    return percentiles.select(percentiles.combine(days)).select(
+    return percentiles.select(percentiles.daily_and_all(days), ("day", "grp")).select(
+        "day",
         F.col("grp").alias("service"),
         "percentile",
         F.col("value").alias("latency_ms"),
@@ -201,11 +202,14 @@ _NO_BREAK = rf"[^{_SPACE}.,;:!?。，；：！？、]"
 ORACLE: dict[str, str] = {
     "p3_percentiles": f"""
 WITH {_SERVICE},
+doubled AS (
+  SELECT strftime(day, '%Y-%m-%d') AS day, service, v FROM measured UNION ALL SELECT 'all', service, v FROM measured
+),
 ranked AS (
-  SELECT service, v, row_number() OVER (PARTITION BY service ORDER BY v) AS r, count(*) OVER (PARTITION BY service) AS n
-  FROM measured
+  SELECT day, service, v, row_number() OVER (PARTITION BY day, service ORDER BY v) AS r, count(*) OVER (PARTITION BY day, service) AS n
+  FROM doubled
 )
-SELECT service, p AS percentile, v AS latency_ms, n AS n_values, CAST(0 AS DOUBLE) AS rank_error
+SELECT day, service, p AS percentile, v AS latency_ms, n AS n_values, CAST(0 AS DOUBLE) AS rank_error
 FROM ranked, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.95 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) AS t(p)
 WHERE r = greatest(1, CAST(ceil(p * n - 1e-9) AS BIGINT))
 """,
