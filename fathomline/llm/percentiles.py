@@ -152,11 +152,11 @@ def select(
         )
         large = candidates.where(F.col("distinct") > sorted_values)
         proposed = _local_medians(large)
-        keys = Window.partitionBy("search")
-        so_far = F.sum("weight").over(keys.orderBy("median", "weight").rowsBetween(Window.unboundedPreceding, 0))
+        per_search = Window.partitionBy("search")
+        so_far = F.sum("weight").over(per_search.orderBy("median", "weight").rowsBetween(Window.unboundedPreceding, 0))
         pivots = (
             proposed.withColumn("so_far", so_far)
-            .withColumn("all", F.sum("weight").over(keys))
+            .withColumn("all", F.sum("weight").over(per_search))
             .where(F.col("so_far") * 2 >= F.col("all"))
             .groupBy("search")
             .agg(F.min("median").alias("pivot"))

@@ -155,7 +155,7 @@ aliases AS (
          min(lower(regexp_replace(service, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))) AS service
   FROM service_alias WHERE alias IS NOT NULL AND service IS NOT NULL GROUP BY 1
 ),
-lines AS (
+lines AS MATERIALIZED (
   SELECT CAST(timezone('UTC', ingested_at) AS DATE) AS day,
          lower(regexp_replace(skel.service, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS name,
          skel.latency_ms AS v
