@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fathomline.plans import history
+from fathomline.plans import history, logs, memory
 
-_MODULES = (history,)
+_MODULES = (history, logs, memory)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
-FLAGSHIP = QUERIES["p2_found"]
+FLAGSHIP = QUERIES["trace_by_service"]

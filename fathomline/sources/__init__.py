@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Reading and writing files, and paged sources."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Structured Streaming over the event and message tables."""
