@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fathomline.plans import history, logs, memory
+from fathomline.plans import events, history, logs, memory, retrieval
 
-_MODULES = (history, logs, memory)
+_MODULES = (history, logs, memory, retrieval, events)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
-FLAGSHIP = QUERIES["trace_by_service"]
+FLAGSHIP = QUERIES["hybrid_search"]

@@ -17,9 +17,11 @@ from fathomline.session import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New rows of a Parquet table; a wall-clock time without zone is taken as UTC, as watermarks need."""
-    folder = path if not path.endswith(".parquet") else path
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
+    """New files of a Parquet table, a folder or a single file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
 def tumbling(events: DataFrame, at: str, length: str, keys: list[str]) -> DataFrame:
@@ -77,13 +79,18 @@ def deduplicated(events: DataFrame, at: str, keys: list[str], lateness: str) ->
     return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Merge each batch into a stored table: written beside it first, then swapped in by its version's name."""
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> str | None:
+    """Merge each batch into a stored table, written as its next version; gives the last version's folder.
+
+    A batch that is repeated after a failure writes the same version again.
+    """
     spark = stream.sparkSession
     versions = f"{path.rstrip('/')}/v"
+    written: list[str] = []
 
     def save(batch: DataFrame, number: int) -> None:
         target = f"{versions}{number}"
+        written.append(target)
         if number == 0:
             merged = merge(batch.limit(0), batch)
         else:
@@ -92,3 +99,4 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, merge: Callable
 
     query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return written[-1] if written else None
