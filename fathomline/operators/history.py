@@ -153,12 +153,18 @@ def as_of(log: DataFrame, at_us: int, every_us: int = 6 * PERIOD_US, **names) ->
     version and the moment are folded over the version's rows.
     """
     base = at_us // every_us * every_us
+    all_patches = patches(log, **names)
+    # no full version is stored after the log's last moment
+    nearest = F.broadcast(
+        all_patches.agg(F.least(F.floor(F.max("ts") / F.lit(every_us)) * F.lit(every_us), F.lit(base)).alias("_base"))
+    )
     stored = (
         full_versions(log, every_us=every_us, **names)
-        .where(F.col("version_at_us") == F.lit(base))
+        .crossJoin(nearest)
+        .where(F.col("version_at_us") == F.col("_base"))
         .fillna(_NULL, ["entity", "attribute"])
     )
-    later = patches(log, **names).where((F.col("ts") > F.lit(base)) & (F.col("ts") <= F.lit(at_us)))
+    later = all_patches.crossJoin(nearest).where((F.col("ts") > F.col("_base")) & (F.col("ts") <= F.lit(at_us)))
     changed = later.select("entity", "attribute", "ts", "value").unionByName(
         stored.select("entity", "attribute", F.col("since_us").alias("ts"), "value")
     )

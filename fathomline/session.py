@@ -26,6 +26,7 @@ def local_session(cores: int = 8, app: str = "fathomline", **conf: str) -> Spark
         "spark.driver.memory": "12g",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
+        "spark.sql.python.filterPushdown.enabled": "true",
     } | conf
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 

@@ -45,9 +45,8 @@ def dated_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_LINE)
 
 def markdown(spark: SparkSession, path: str, skip: str = "README.md") -> DataFrame:
     """``doc_id, category, text`` of Markdown files: names of the file and of its folder."""
-    rows = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
-    )
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    rows = reader.option("pathGlobFilter", "*.md").load(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
     named = rows.select(
         F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("doc_id"),
@@ -85,7 +84,7 @@ def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
 
     import pandas as pd
 
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path)
+    rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.yaml").load(path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
