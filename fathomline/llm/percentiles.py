@@ -3,7 +3,7 @@
 **Partial results**: one row for each day, group and distinct value, with its
 count (``day_partials``). Partials of any days are put together by adding counts,
 so days can be computed, stored and combined in any order. With a rank error
-``e`` > 0 a day keeps for each group at most 1/e + 1 values: the one at the end
+``e`` > 0 a day keeps for each group at most 2/e + 1 values: the one at the end
 of each stretch of e * n ranks, weighted with the stretch, so that any rank
 read from combined partials is off by at most e * n.
 

@@ -119,15 +119,15 @@ PHONE = re.compile(
     re.I,
 )
 _IDS = (
-    # pattern, score, check, score if it holds, whether it must hold
-    (r"[0-9]{6}([ -]?)(?:18|19|20)[0-9]{6}\1[0-9]{3}[0-9X]", 0.2, mod_11_2, 0.7, True),
-    (r"[12][ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?(?:[0-9]{2}|2[AB])[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}", 0.1, mod_97, 0.5, True),
-    (r"[0-9]{2}[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{3}", 0.0, mod_11_10, 0.2, False),
-    (r"[0-9]{8}[ -]?[A-HJ-NP-TV-Z]", 0.1, mod_23, 0.3, True),
-    (r"[A-Z]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[A-D]", 0.5, None, 0.0, False),
-    (r"[A-Z]{1,2}[0-9]{7,8}", 0.15, None, 0.0, False),
-    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.45, None, 0.0, False),
-    (r"[0-9]{3}([ ]?)[0-9]{2}\1[0-9]{4}", 0.15, None, 0.0, False),
+    # pattern, score, check, what it adds if it holds; without it only words close by make a number an identity
+    (r"[0-9]{6}([ -]?)(?:18|19|20)[0-9]{6}\1[0-9]{3}[0-9X]", 0.1, mod_11_2, 0.7),
+    (r"[12][ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?(?:[0-9]{2}|2[AB])[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}", 0.1, mod_97, 0.4),
+    (r"[0-9]{2}[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{3}", 0.0, mod_11_10, 0.2),
+    (r"[0-9]{8}[ -]?[A-HJ-NP-TV-Z]", 0.1, mod_23, 0.3),
+    (r"[A-Z]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[A-D]", 0.5, None, 0.0),
+    (r"[A-Z]{1,2}[0-9]{7,8}", 0.15, None, 0.0),
+    (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.45, None, 0.0),
+    (r"[0-9]{3}([ ]?)[0-9]{2}\1[0-9]{4}", 0.15, None, 0.0),
 )
 IDS = tuple((re.compile(rf"{_LEFT}{p}{_RIGHT}", re.I), *rest) for p, *rest in _IDS)
 
@@ -217,7 +217,7 @@ _CUES = (
     (
         ("user ", "customer ", "employee ", "colleague ", "caller ", "operator ", "engineer "),
         r"\b(?:user|customer|employee|colleague|caller|operator|engineer) (?:TITLE\b\.? )?",
-        r"(?= ?[(<]| (?:reported|reports|said|says|called|wrote|asked|opened|cannot|can't|could|has|had|is|was)\b)",
+        r"(?= ?\(| ?<[^A-Z]| (?:reported|reports|said|says|called|wrote|asked|opened|cannot|can't|could|has|had|is|was)\b)",
         0.5,
     ),
     ((" to:", "attn"), r"\b(?:to|attn): ?(?:TITLE\b\.? )?", r"(?=, )", 0.5),
@@ -255,7 +255,7 @@ _TITLE_WORD = re.compile(rf"{_TITLES}\.?$", re.I)
 _NO_NAME = frozenset(
     "the this that these those our your my his her its their a an and or but please which what when why how is are was were "
     "it we you they i he she everyone nobody somebody someone all any each no not ref see team support on for to in "
-    "der die das ein eine und bitte wir sie le la les un une et nous vous el los las una y por de team ops oncall".split()
+    "der die das ein eine und bitte wir sie le la les un une et nous vous el los las una y por de team ops oncall at of as by with lives from".split()
 )
 _NO_HAN_NAME = re.compile(r"团队|运维|管理|部门|值班|同事|经理|客服|小组|支持|平台|系统|服务|工程|研发|负责|大家|我们|他们|专家|对应|相关|一下|业务|无法")
 
@@ -353,14 +353,9 @@ def _numbers(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
         if _SAYS_OTHER.search(before):
             score -= 0.7
         yield "phone", *m.span(), score
-    for pattern, base, check, bonus, must in IDS if digits else ():
+    for pattern, base, check, bonus in IDS if digits else ():
         for m in pattern.finditer(text):
-            score = base
-            if check:
-                if check(m.group()):
-                    score += bonus
-                elif must:
-                    continue
+            score = base + (bonus if check and check(m.group()) else 0.0)
             before, after = _context(text, *m.span())
             if _SAYS_ID.search(before):
                 score += 0.6
