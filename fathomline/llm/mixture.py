@@ -129,7 +129,8 @@ def mixture(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     upto = F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     sorted_bin = placed.where(ends_here).withColumn("extra", (upto <= F.col("rest")).cast("int"))
     others = placed.where(~ends_here).withColumn("extra", F.col("before").isNotNull().cast("int"))
-    chosen = sorted_bin.unionByName(others).select("doc_id", "copy", "source", "n_tokens", "uniform", "whole", "part", "extra")
+    columns = ["doc_id", "copy", "source", "n_tokens", "uniform", "whole", "part", "extra"]
+    chosen = cut(sorted_bin.unionByName(others).select(*columns))
     filling = _filling(chosen, planned)
     return (
         chosen.join(filling, ["source", "doc_id", "copy"], "left")
