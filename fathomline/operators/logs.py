@@ -97,11 +97,13 @@ def counts_by_kind(logs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(skeletons: DataFrame) -> DataFrame:
-    """Lines that were delivered again have the same content: ``seq`` of the first, with the number of deliveries."""
-    fields = [F.col(f"skel.{f.name}").alias(f"_{f.name}") for f in skeletons.schema["skel"].dataType.fields]
-    names = [f"_{f.name}" for f in skeletons.schema["skel"].dataType.fields]
-    rows = skeletons.select("seq", *fields)
-    return rows.groupBy(*names).agg(F.min("seq").alias("seq"), F.count("*").alias("deliveries")).select("seq", "deliveries")
+    """Lines that were delivered again have the same content: ``seq`` of the first, with the number of deliveries.
+
+    Two hashes of all fields, 128 bits together, are shuffled instead of the lines; nulls count as values of their own.
+    """
+    fields = [F.coalesce(F.col(f"skel.{f.name}").cast("string"), F.lit("\x00")) for f in skeletons.schema["skel"].dataType.fields]
+    rows = skeletons.select("seq", F.xxhash64(*fields).alias("_a"), F.xxhash64(F.lit(1), *fields).alias("_b"))
+    return rows.groupBy("_a", "_b").agg(F.min("seq").alias("seq"), F.count("*").alias("deliveries")).select("seq", "deliveries")
 
 
 # --- traces ------------------------------------------------------------------

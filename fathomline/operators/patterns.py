@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import fingerprint
@@ -11,8 +11,9 @@ from fathomline.functions.text import fingerprint
 def pattern_counts(logs: DataFrame) -> DataFrame:
     """``pattern, n, share``: share of all lines in percent, of those with a pattern."""
     counted = logs.groupBy(fingerprint(F.col("msg")).alias("pattern")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counted.withColumn("share", 100.0 * F.col("n") / total).where(F.col("pattern") != "")
+    total = F.broadcast(logs.agg(F.count("*").alias("_all")))
+    shares = counted.where(F.col("pattern") != "").crossJoin(total)
+    return shares.select("pattern", "n", (100.0 * F.col("n") / F.col("_all")).alias("share"))
 
 
 def top_patterns(logs: DataFrame, limit: int = 20) -> DataFrame:

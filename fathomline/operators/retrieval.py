@@ -89,8 +89,8 @@ def keyword(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
 # --- vectors -----------------------------------------------------------------
 
 
-def _packed(vectors: DataFrame, prefix: str) -> DataFrame:
-    """Rows of up to BLOCK vectors each: ids and one packed matrix of unit vectors. Packed where the rows are read."""
+def _packed(vectors: DataFrame, prefix: str, grouped: bool) -> DataFrame:
+    """Rows of up to BLOCK vectors each: their group, ids, and one packed matrix of unit vectors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,23 +99,37 @@ def _packed(vectors: DataFrame, prefix: str) -> DataFrame:
                 rows = np.array(part.column("v").to_pylist(), np.float64)
                 size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
                 unit = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-                ids = pa.array([part.column("id").to_pylist()], pa.list_(pa.int64()))
-                data = pa.array([unit.tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, data], names=[f"{prefix}_ids", f"{prefix}_data"])
+                names, ids = part.column("grp").to_pylist(), part.column("id").to_pylist()
+                edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+                spans = list(zip(edges, edges[1:], strict=False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[a] for a, _ in spans], pa.string()),
+                        pa.array([ids[a:b] for a, b in spans], pa.list_(pa.int64())),
+                        pa.array([unit[a:b].tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    names=["grp", f"{prefix}_ids", f"{prefix}_data"],
+                )
 
-    return vectors.mapInArrow(pack, f"{prefix}_ids array<long>, {prefix}_data binary")
+    if grouped:  # salted, so that a large group fills blocks in many tasks
+        vectors = vectors.repartition("grp", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("grp")
+    return vectors.mapInArrow(pack, f"grp string, {prefix}_ids array<long>, {prefix}_data binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool = False, group: str | None = None) -> DataFrame:
     """``qid, id, distance, rank``: the n nearest vectors of each query by cosine distance, exactly.
 
     ``vectors`` has ``id, v`` and ``queries`` ``qid, v``; rows without a vector
-    are left out. Blocks of vectors meet blocks of queries; only the n best of
-    each pair of blocks go on to be ranked.
+    are left out. With ``group`` only vectors of the query's own group are
+    compared. Blocks of vectors meet blocks of queries; only the n best of each
+    pair of blocks go on to be ranked, pairs of vectors are never rows.
     """
     has = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
-    data = _packed(vectors.select(F.col("id").cast("long"), "v").where(has), "d")
-    asked = _packed(queries.select(F.col("qid").cast("long").alias("id"), "v").where(has), "q")
+    if group:
+        has = has & F.col(group).isNotNull()
+    name = F.col(group).cast("string") if group else F.lit("")
+    data = _packed(vectors.where(has).select(name.alias("grp"), F.col("id").cast("long"), "v"), "d", bool(group))
+    asked = _packed(queries.where(has).select(name.alias("grp"), F.col("qid").cast("long").alias("id"), "v"), "q", bool(group))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +138,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool
                 d = np.frombuffer(row["d_data"]).reshape(len(ids), -1)
                 q = np.frombuffer(row["q_data"]).reshape(len(qids), -1)
                 distance = np.round(1 - q @ d.T, 6)
+                blank = ~d.any(axis=1)[None, :] | ~q.any(axis=1)[:, None]
                 if not with_self:
-                    distance[qids[:, None] == ids[None, :]] = np.inf
+                    blank = blank | (qids[:, None] == ids[None, :])
+                distance[blank] = np.inf
                 order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :n]
                 best = np.take_along_axis(distance, order, axis=1)
                 keep = np.isfinite(best)
@@ -138,7 +154,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool
                     names=["qid", "id", "distance"],
                 )
 
-    pairs = data.crossJoin(asked).mapInArrow(compare, "qid long, id long, distance double")
+    met = data.join(asked, "grp") if group else data.drop("grp").crossJoin(asked.drop("grp"))
+    pairs = met.select("d_ids", "d_data", "q_ids", "q_data").mapInArrow(compare, "qid long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= n)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import evaluation, logs, memory, synthesis
 from fathomline.session import read, shared_dir
-from fathomline.streaming import windows
+from fathomline.streaming import sessions, windows
 
 LENGTH, SLIDE, GAP = "1 hour", "15 minutes", "30 minutes"
 
@@ -61,6 +61,12 @@ def stream_upsert(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema)
 
 
+def stream_summaries(spark, sf_dir):
+    """Summaries that fall due when all messages arrive at once."""
+    stream = _stream(spark, sf_dir, "episodic_turns").select("session_id", "turn")
+    return windows.run_to_end(sessions.summaries_due(stream))
+
+
 def change_correlation(spark, sf_dir):
     """For each error the user's last sign-up at or before it."""
     rows = _events(spark, sf_dir).where(F.col("event_type").isin("error", "signup"))
@@ -149,6 +155,8 @@ FROM events, (VALUES (0), (1), (2), (3)) AS t(i) GROUP BY 1, 2""",
     "stream_upsert": """SELECT session_id, turn, role, id, content FROM episodic_turns
 WHERE session_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY session_id, turn, role ORDER BY id DESC) = 1""",
+    "stream_summaries": """SELECT session_id, 1 AS level, 1 AS covers_start, max(turn) - 3 AS covers_end
+FROM episodic_turns WHERE session_id IS NOT NULL GROUP BY 1 HAVING max(turn) >= 8""",
     "change_correlation": f"""WITH {_MARKED}, carried AS (
   SELECT *, last_value(mark IGNORE NULLS) OVER w AS mark_event_id, last_value(mark_us IGNORE NULLS) OVER w AS at_us FROM marked
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, mark IS NULL, event_id ROWS UNBOUNDED PRECEDING))

@@ -63,12 +63,9 @@ def pattern_neighbours(spark, sf_dir):
 
 def vector_topk_filtered(spark, sf_dir):
     """The nearest fault summaries of the same user to every twentieth one, with their distance."""
-    rows = read(spark, sf_dir, "profile_fault_patterns").where(F.col("embedding").isNotNull() & F.col("user_id").isNotNull())
-    asked = rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "user_id", F.col("embedding").alias("q"))
-    pairs = rows.select("id", "user_id", "embedding").join(asked, "user_id").where(F.col("id") != F.col("qid"))
-    scored = pairs.withColumn("distance", F.round(retrieval.cosine_distance(F.col("q"), F.col("embedding")), 6))
-    scored = scored.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
-    return retrieval._ranked(scored.withColumn("score", -F.col("distance")), BEST).select("qid", "id", "user_id", "distance", "rank")
+    rows = read(spark, sf_dir, "profile_fault_patterns").select("id", "user_id", F.col("embedding").alias("v"))
+    asked = rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+    return retrieval.nearest(rows, asked, BEST, group="user_id")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -184,9 +181,9 @@ SELECT count(*) AS n_docs, round(avg(n), 6) AS mean_terms FROM sizes WHERE n > 0
     "keyword_search": f"WITH {_QUERIES}, {_DOCS}, {_KEYWORD} SELECT qid, id, score, rank, {_SNIPPET} AS snippet FROM keyword WHERE rank <= {BEST}",
     "vector_topk": _near_sql("vec_id", "embeddings", TOP),
     "pattern_neighbours": _near_sql("id", "profile_fault_patterns", BEST),
-    "vector_topk_filtered": f"""WITH pairs AS ({_NEAR.format("id", "profile_fault_patterns").replace(" AS distance", " AS distance, d.user_id")} AND q.user_id = d.user_id),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM pairs WHERE NOT isnan(distance))
-SELECT qid, id, user_id, distance, rank FROM ranked WHERE rank <= {BEST}""",
+    "vector_topk_filtered": f"""WITH pairs AS ({_NEAR.format("id", "profile_fault_patterns")} AND q.user_id = d.user_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)
+SELECT qid, id, distance, rank FROM ranked WHERE rank <= {BEST}""",
     "rrf_fusion": f"""WITH {_QUERIES}, {_DOCS}, {_bm25_sql('docs', 'text')}, {_KEYWORD},
 lists AS (
   SELECT qid, id, rank, 0 AS list FROM bm25 WHERE rank <= {POOL}
