@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import text, times
+from fathomline.session import spread
 
 #: Levels by rising severity (fixed value); unknown ones rank lowest.
 LEVELS = ("DEBU", "INFO", "WARN", "ERRO", "FATA")
@@ -78,7 +79,7 @@ def any_service(base: Column, services: list[str]) -> Column:
 
 def counts_by_kind(logs: DataFrame) -> DataFrame:
     """``kind, key, n``: lines by level, service, caller and pattern, in one pass over grouping sets."""
-    rows = logs.select(
+    rows = spread(logs.select("level", "service", "caller", "msg")).select(
         "level",
         "service",
         text.caller_place(F.col("caller")).alias("caller"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import fingerprint
+from fathomline.session import spread
 
 
 def pattern_counts(logs: DataFrame) -> DataFrame:
     """``pattern, n, share``: share of all lines in percent, of those with a pattern."""
-    counted = logs.groupBy(fingerprint(F.col("msg")).alias("pattern")).agg(F.count("*").alias("n"))
+    counted = spread(logs.select("msg")).groupBy(fingerprint(F.col("msg")).alias("pattern")).agg(F.count("*").alias("n"))
     total = F.broadcast(logs.agg(F.count("*").alias("_all")))
     shares = counted.where(F.col("pattern") != "").crossJoin(total)
     return shares.select("pattern", "n", (100.0 * F.col("n") / F.col("_all")).alias("share"))
@@ -22,7 +23,7 @@ def top_patterns(logs: DataFrame, limit: int = 20) -> DataFrame:
 
 def by_environment(logs: DataFrame, environments: list[str]) -> DataFrame:
     """Lines of each pattern in each environment and in all of them; zero where it has none."""
-    rows = logs.where(F.col("env").isin(*environments)).withColumn("pattern", fingerprint(F.col("msg")))
+    rows = spread(logs.where(F.col("env").isin(*environments)).select("env", "msg")).withColumn("pattern", fingerprint(F.col("msg")))
     return (
         rows.where(F.col("pattern") != "")
         .groupBy("pattern")
@@ -32,7 +33,7 @@ def by_environment(logs: DataFrame, environments: list[str]) -> DataFrame:
 
 def before_after(logs: DataFrame, split_day: str) -> DataFrame:
     """Lines of each pattern before a day and from it on, and the difference."""
-    rows = logs.withColumn("pattern", fingerprint(F.col("msg"))).where(
+    rows = spread(logs.select("msg", "ingested_at")).withColumn("pattern", fingerprint(F.col("msg"))).where(
         (F.col("pattern") != "") & F.col("ingested_at").isNotNull()
     )
     early = F.to_date("ingested_at") < F.lit(split_day).cast("date")

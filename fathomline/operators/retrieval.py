@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import snippet, words
+from fathomline.session import spread
 
 K1, B = 1.5, 0.75
 #: Vectors in a block; a pair of blocks is compared by one matrix product.
@@ -22,7 +23,8 @@ BLOCK = 2048
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``term, id, tf, n_terms``: the inverted index. Write it once with ``cut`` or to a table, and search it often."""
-    listed = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("_w"))
+    rows = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("_t")))
+    listed = rows.select("id", words(F.col("_t")).alias("_w"))
     terms = listed.select("id", F.size("_w").alias("n_terms"), F.explode("_w").alias("term"))
     return terms.groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf"))
 
@@ -34,7 +36,7 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row: ``n_docs`` with terms and their mean length."""
-    sizes = docs.select(F.size(words(F.col(text))).alias("n")).where(F.col("n") > 0)
+    sizes = spread(docs.select(F.col(text).alias("_t"))).select(F.size(words(F.col("_t"))).alias("n")).where(F.col("n") > 0)
     return sizes.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_terms"))
 
 
@@ -71,7 +73,7 @@ def keyword(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     Queries are few against documents; they meet in blocks that Spark broadcasts by size.
     """
     asked = queries.select("qid", F.array_distinct(words(F.col("query"))).alias("terms"))
-    low = docs.select(
+    low = spread(docs.select("id", "text", "title", "category")).select(
         "id", "text", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("title", "category", "text")]
     )
 

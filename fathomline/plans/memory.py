@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text
 from fathomline.operators import evaluation, memory
-from fathomline.session import read
+from fathomline.session import read, spread
 
 KEEP, SPAN = 3, 4
 NEWEST = 3
@@ -165,7 +165,7 @@ def ulid_decode(spark, sf_dir):
 
 def mask_rules(spark, sf_dir):
     """Messages masked by ordered rules, as they are before they are shown."""
-    rows = read(spark, sf_dir, "episodic_turns")
+    rows = spread(read(spark, sf_dir, "episodic_turns").select("id", "content"))
     return rows.select("id", text.mask(F.col("content")).alias("masked"))
 
 

@@ -36,6 +36,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, spread over them; others as they are.
+
+    For work that costs much per row over a table in few row groups. Larger
+    tables have partitions enough and aren't shuffled. Plans the scan, runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. It is taken from the session; one is made only where none is set."""
     context = spark.sparkContext
