@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import strip
 from fathomline.llm.batches import slices
+from fathomline.session import spread
 
 FAMILIES = {"han": ("zh",), "germanic": ("en", "de", "nl"), "romance": ("fr", "es", "pt")}
 LANGUAGES = tuple(x for xs in FAMILIES.values() for x in xs)
@@ -52,7 +53,7 @@ SPELLINGS = {
 }
 
 #: Bounds of the training sample: documents of each label, and sentences of each language.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 300, 1500
+SAMPLE_DOCS, SAMPLE_SENTENCES = 300, 1000
 #: Weights of a machine; words whose scores a task keeps.
 BUCKETS, KNOWN_WORDS = 1 << 16, 300_000
 
@@ -159,7 +160,7 @@ class Sentences:
 _LENGTH = 3.0
 
 
-def fit_machine(rows: Sentences, sign: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> np.ndarray:
+def fit_machine(rows: Sentences, sign: np.ndarray, ridge: float = 1e-4, rounds: int = 200) -> np.ndarray:
     """The weights of a linear machine with squared hinge loss, by accelerated gradients over all rows of sign 1 or -1."""
     share = np.zeros(len(sign))
     for side in (1, -1):
@@ -372,7 +373,7 @@ def train(
     rows = [(r["label"], r["text"]) for r in sorted(sample, key=lambda r: r["doc_id"])]
     found, owner = _examples(rows)
     model = Model.fit(_bounded(seeds, sample_sentences)) if len({x for x, _ in seeds}) > 1 else None
-    for _ in range(3):
+    for _ in range(2):
         if model is None or not found:
             break
         model = Model.fit(_bounded(_agreed(model, found, owner), sample_sentences) + seeds)
@@ -403,7 +404,7 @@ def segments(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *made], names=["doc_id", *NAMES])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(
+    return spread(source).mapInArrow(
         scan,
         f"doc_id {kind}, segment int, lang string, confidence double, n_sentences int, start_pos long, end_pos long",
     )
@@ -444,7 +445,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(
+    return spread(source).mapInArrow(
         scan,
         f"doc_id {kind}, label string, langs array<struct<lang: string, confidence: double, n_sentences: int>>",
     )

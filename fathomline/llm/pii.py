@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.batches import slices
+from fathomline.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
@@ -489,7 +490,7 @@ def found(rows: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = source.schema["row_id"].dataType.simpleString()
-    return source.mapInArrow(scan, f"row_id {kind}, kind string, start_pos long, end_pos long, score double")
+    return spread(source).mapInArrow(scan, f"row_id {kind}, kind string, start_pos long, end_pos long, score double")
 
 
 def masked(rows: DataFrame, text: str) -> DataFrame:
@@ -501,4 +502,4 @@ def masked(rows: DataFrame, text: str) -> DataFrame:
             done = pa.array([mask_text(x) for x in batch.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([done if c == text else batch.column(c) for c in names], names=names)
 
-    return rows.mapInArrow(mask, rows.schema)
+    return spread(rows).mapInArrow(mask, rows.schema)

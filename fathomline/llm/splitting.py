@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.batches import slices
+from fathomline.session import spread
 
 LIMIT, OVERLAP = 1200, 120
 
@@ -144,7 +145,7 @@ def split(
             made = [pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 5, PIECE_TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays(kept.columns + made, names=[*keep, *PIECE_NAMES])
 
-    return source.mapInArrow(cut, schema)
+    return spread(source).mapInArrow(cut, schema)
 
 
 def kinds(rows: DataFrame, text: str, key: str = "id", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -158,4 +159,4 @@ def kinds(rows: DataFrame, text: str, key: str = "id", limit: int = LIMIT, overl
             pieces = pa.array([len(pieces) for pieces, _ in made], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), kind, pieces], names=["id", "kind", "n_pieces"])
 
-    return source.mapInArrow(judge, f"id {source.schema['id'].dataType.simpleString()}, kind string, n_pieces int")
+    return spread(source).mapInArrow(judge, f"id {source.schema['id'].dataType.simpleString()}, kind string, n_pieces int")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.batches import slices
+from fathomline.session import spread
 
 #: Where the public vocabulary lies; a parameter of every function below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -189,7 +190,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
             lists = pa.ListArray.from_arrays(ends, pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return source.mapInArrow(encode, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return spread(source).mapInArrow(encode, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -204,4 +205,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             columns = [*part.select(keep).columns, pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens"])
 
-    return source.mapInArrow(count, f"{schema}, n_tokens long")
+    return spread(source).mapInArrow(count, f"{schema}, n_tokens long")
