@@ -43,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
     tables have partitions enough and aren't shuffled. Plans the scan, runs nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.session import cut
+
 RAW_LINE = T.StructType(
     [
         T.StructField(n, t)
@@ -101,16 +104,17 @@ def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
 def write_days(df: DataFrame, path: str, columns: tuple[str, ...] = ("env", "topic", "day"), only_new: bool = False) -> None:
     """Write by partition columns. Partitions in the data replace stored ones, or, with ``only_new``, stored ones are kept."""
     spark = df.sparkSession
-    if only_new and _exists(spark, path):
-        stored = spark.read.parquet(path).select(*columns).distinct()
-        df = df.join(stored, list(columns), "left_anti")
+    if only_new and (stored := _stored(spark, path)) is not None:
+        df = df.join(stored.select(*columns).distinct(), list(columns), "left_anti")
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*columns).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        return None
 
 
 def with_ids(df: DataFrame, order: list[str], name: str = "id", per_range: str = "_range") -> DataFrame:
@@ -119,8 +123,6 @@ def with_ids(df: DataFrame, order: list[str], name: str = "id", per_range: str =
     Rows are range-partitioned by the order; counts of the ranges give where each starts.
     """
     ranged = df.repartitionByRange(*order).withColumn(per_range, F.spark_partition_id())
-    from fathomline.session import cut
-
     ranged = cut(ranged)
     before = Window.partitionBy(F.lit(0)).orderBy(per_range).rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(per_range).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -18,10 +18,11 @@ from fathomline.session import shared_dir
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """New files of a Parquet table, a folder or a single file."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
-        return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if [f.rsplit("/", 1)[-1] for f in files] == [name]:  # a single file is streamed from its folder
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path.rstrip("/")[: -len(name)])
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def tumbling(events: DataFrame, at: str, length: str, keys: list[str]) -> DataFrame:
