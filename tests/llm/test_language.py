@@ -30,7 +30,7 @@ def test_held_out_accuracy(model):
 
 
 def test_agrees_with_labels_on_documents(spark, model):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet" if False else "/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = L.languages(docs, model).where((F.size("langs") == 1) & F.col("label").isNotNull()).collect()
     right = sum(r["label"] == r["langs"][0]["lang"] for r in rows)
     assert right / len(rows) > 0.85  # some labels are wrong
