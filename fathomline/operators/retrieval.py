@@ -22,11 +22,14 @@ BLOCK = 2048
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``term, id, tf, n_terms``: the inverted index. Write it once with ``cut`` or to a table, and search it often."""
+    """``term, id, tf, n_terms, first``: the inverted index. Write it once with ``cut`` or to a table, and search it often.
+
+    ``first`` marks the term that a document begins with, one posting per document.
+    """
     rows = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("_t")))
     listed = rows.select("id", words(F.col("_t")).alias("_w"))
-    terms = listed.select("id", F.size("_w").alias("n_terms"), F.explode("_w").alias("term"))
-    return terms.groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf"))
+    terms = listed.select("id", F.size("_w").alias("n_terms"), F.posexplode("_w").alias("_place", "term"))
+    return terms.groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf"), (F.min("_place") == 0).alias("first"))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -34,10 +37,9 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: ``n_docs`` with terms and their mean length."""
-    sizes = spread(docs.select(F.col(text).alias("_t"))).select(F.size(words(F.col("_t"))).alias("n")).where(F.col("n") > 0)
-    return sizes.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_terms"))
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row: ``n_docs`` with terms and their mean length, from the index alone."""
+    return index.where("first").agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("mean_terms"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -56,14 +58,13 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, n: int = 50) ->
     Only postings of query terms leave the index. ``stats`` has one row.
     """
     asked = query_terms(queries)
-    hits = index.join(asked, "term")
-    frequency = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    one = F.broadcast(stats)
+    # the index has one row per term and document, so its rows of a term are the term's documents
+    frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
-    scores = (
-        hits.join(frequency, "term").crossJoin(one).groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    )
+    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "mean_terms")
+    size = K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms"))
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + size)
+    scores = index.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return _ranked(scores, n)
 
 

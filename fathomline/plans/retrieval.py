@@ -26,8 +26,8 @@ def _docs(spark, sf_dir) -> DataFrame:
 
 def _index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The inverted index of the documents, written once, and its statistics."""
-    docs = _docs(spark, sf_dir)
-    return cut(retrieval.postings(docs, "id", "text")), retrieval.corpus_stats(docs, "id", "text")
+    index = cut(retrieval.postings(_docs(spark, sf_dir), "id", "text"))
+    return index, retrieval.corpus_stats(index)
 
 
 def term_stats(spark, sf_dir):
@@ -36,7 +36,8 @@ def term_stats(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    return retrieval.corpus_stats(_docs(spark, sf_dir), "id", "text").withColumn("mean_terms", F.round("mean_terms", 6))
+    index = retrieval.postings(_docs(spark, sf_dir), "id", "text")
+    return retrieval.corpus_stats(index).withColumn("mean_terms", F.round("mean_terms", 6))
 
 
 def bm25_topk(spark, sf_dir):
@@ -83,7 +84,7 @@ def hybrid_search(spark, sf_dir):
     """Chunks for each query by terms and by vectors (bound by number), fused, reranked, one per document."""
     docs = _chunks(spark, sf_dir)
     index = cut(retrieval.postings(docs, "id", "content"))
-    stats = retrieval.corpus_stats(docs, "id", "content")
+    stats = retrieval.corpus_stats(index)
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = _queries(spark, sf_dir).join(vectors.withColumnRenamed("id", "qid"), "qid")
     known = docs.select("id")

@@ -81,7 +81,7 @@ class SearchDocuments:
         if self.mode == "keyword":
             return retrieval.keyword(docs, asked, self.top_k)
         index = cut(retrieval.postings(docs, "id", "text"))
-        found = retrieval.bm25(index, retrieval.corpus_stats(docs, "id", "text"), asked, self.top_k)
+        found = retrieval.bm25(index, retrieval.corpus_stats(index), asked, self.top_k)
         return found.join(docs.select("id", "title", "text"), "id").orderBy("rank")
 
 
