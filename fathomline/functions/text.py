@@ -116,8 +116,9 @@ def mask(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-case search terms: runs of letters, digits and underscores; each Han character is a term."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(\p{IsHan})", " $1 ")
-    return F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(
+        F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{N}_&&[^\p{IsHan}]]+"), F.lit(0)
+    )
 
 
 def snippet(text: Column, term: Column, around: int = 80, head: int = 120) -> Column:
@@ -160,3 +161,25 @@ def byte_size(c: Column) -> Column:
     unit = F.regexp_extract(F.upper(c), r"^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)B?\s*$", 2)
     power = F.when(unit == "", 0).otherwise(F.instr(F.lit("KMGT"), unit))
     return F.when(number != "", (number.try_cast("double") * F.pow(F.lit(1024.0), power)).cast("long"))
+
+
+#: Patterns of what a message refers to: tickets, releases and nodes (fixed values of this project's tables).
+REFERENCES = (r"OPS-\d+", r"[a-z]+-[a-z]+@\d+\.\d+\.\d+", r"node-[a-h]\d{2}")
+
+
+def references(c: Column, patterns: tuple[str, ...] = REFERENCES) -> Column:
+    """All distinct references in a text, in order of the patterns and then of their places."""
+    found = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(0)) for p in patterns]
+    return F.array_distinct(F.flatten(F.array(*found)))
+
+
+def heading(c: Column, default: Column) -> Column:
+    """The first top heading of a Markdown text, or a default."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?m)^[ \t]*# ([^\r\n]+)", 1), F.lit("")), default)
+
+
+def line_range(c: Column) -> Column:
+    """``first`` and ``last`` of a range such as '3-17'; null if it is none or runs backwards."""
+    first = F.regexp_extract(c, r"^\s*(\d{1,9})\s*-\s*(\d{1,9})\s*$", 1).try_cast("int")
+    last = F.regexp_extract(c, r"^\s*(\d{1,9})\s*-\s*(\d{1,9})\s*$", 2).try_cast("int")
+    return F.when(first <= last, F.struct(first.alias("first"), last.alias("last")))
