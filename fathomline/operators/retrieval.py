@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool
                 ids, qids = np.array(row["d_ids"]), np.array(row["q_ids"])
                 d = np.frombuffer(row["d_data"]).reshape(len(ids), -1)
                 q = np.frombuffer(row["q_data"]).reshape(len(qids), -1)
-                distance = np.round(1 - q @ d.T, 6)
+                distance = np.abs(np.round(1 - q @ d.T, 6))  # no negative zeros
                 blank = ~d.any(axis=1)[None, :] | ~q.any(axis=1)[:, None]
                 if not with_self:
                     blank = blank | (qids[:, None] == ids[None, :])

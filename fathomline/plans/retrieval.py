@@ -162,7 +162,7 @@ keyword AS (
 _SNIPPET = r"""trim(regexp_replace(CASE WHEN strpos(lower(text), term) > 0
   THEN substr(text, greatest(strpos(lower(text), term) - 80, 1), strpos(lower(text), term) - greatest(strpos(lower(text), term) - 80, 1) + length(term) + 80)
   ELSE substr(text, 1, 120) END, '\s+', ' ', 'g'))"""
-_NEAR = """SELECT q.{0} AS qid, d.{0} AS id, round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS distance
+_NEAR = """SELECT q.{0} AS qid, d.{0} AS id, abs(round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6)) AS distance
 FROM {1} q, {1} d WHERE q.{0} % 20 = 0 AND q.{0} <> d.{0} AND q.embedding IS NOT NULL AND d.embedding IS NOT NULL"""
 
 
@@ -196,7 +196,7 @@ SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score D
 chunks AS (SELECT id, doc_id AS group_id, content FROM kb_chunks), {_bm25_sql('chunks', 'content')},
 near AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM (
-    SELECT qid, vec_id AS id, round(list_cosine_distance(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS distance
+    SELECT qid, vec_id AS id, abs(round(list_cosine_distance(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6)) AS distance
     FROM queries, embeddings SEMI JOIN chunks ON vec_id = chunks.id)
 ),
 lists AS (
