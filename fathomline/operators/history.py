@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import UNSEEN, fold_key
+from fathomline.session import cut
 
 #: Stands for a null key between the shuffles, so that all joins stay plain equi-joins.
 _NULL = "\x00null"
@@ -108,7 +109,11 @@ def checkpoints(changes: DataFrame) -> DataFrame:
 
 def validity(log: DataFrame, **names) -> DataFrame:
     """``entity, attribute, value, valid_from_us, valid_to_us`` for every version; -1 is still valid."""
-    changed = _changes(patches(log, **names))
+    return _validity(patches(log, **names))
+
+
+def _validity(patch: DataFrame) -> DataFrame:
+    changed = _changes(patch)
     carried = checkpoints(changed)
     keys = ["entity", "attribute", "period"]
     folded = changed.join(carried.drop("value_before"), keys).where(~F.col("_first") | F.col("opens"))
@@ -126,7 +131,11 @@ def full_versions(log: DataFrame, every_us: int = 6 * PERIOD_US, **names) -> Dat
     were valid at the moment. Each validity row is repeated for the moments it
     covers, so the work follows the result.
     """
-    rows = validity(log, **names)
+    return _full_versions(patches(log, **names), every_us)
+
+
+def _full_versions(patch: DataFrame, every_us: int) -> DataFrame:
+    rows = _validity(patch)
     last = rows.agg(F.max("valid_from_us").alias("_last"))
     span = rows.crossJoin(F.broadcast(last)).withColumn(
         "_end", F.when(F.col("valid_to_us") == -1, F.col("_last") + F.lit(1)).otherwise(F.col("valid_to_us"))
@@ -153,13 +162,14 @@ def as_of(log: DataFrame, at_us: int, every_us: int = 6 * PERIOD_US, **names) ->
     version and the moment are folded over the version's rows.
     """
     base = at_us // every_us * every_us
-    all_patches = patches(log, **names)
+    # the delta side of the store is read three times, so it is written once
+    all_patches = cut(patches(log, **names))
     # no full version is stored after the log's last moment
     nearest = F.broadcast(
         all_patches.agg(F.least(F.floor(F.max("ts") / F.lit(every_us)) * F.lit(every_us), F.lit(base)).alias("_base"))
     )
     stored = (
-        full_versions(log, every_us=every_us, **names)
+        _full_versions(all_patches, every_us)
         .crossJoin(nearest)
         .where(F.col("version_at_us") == F.col("_base"))
         .fillna(_NULL, ["entity", "attribute"])
