@@ -128,6 +128,7 @@ _IDS = (
     (r"[A-Z]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[A-D]", 0.5, None, 0.0),
     (r"[A-Z]{1,2}[0-9]{7,8}", 0.15, None, 0.0),
     (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.45, None, 0.0),
+    (r"[0-9]{3}([ -])[0-9]{3}\1[0-9]{3}", 0.0, luhn, 0.2),
     (r"[0-9]{3}([ ]?)[0-9]{2}\1[0-9]{4}", 0.15, None, 0.0),
 )
 IDS = tuple((re.compile(rf"{_LEFT}{p}{_RIGHT}", re.I), *rest) for p, *rest in _IDS)
@@ -284,7 +285,7 @@ _SAYS_PHONE = re.compile(
     r"phone|mobile|(?<![a-z])tel\b|telef|teléf|handy|call|cell|fax|whatsapp|erreichbar|joignable|appel|llam|on call|电话|手机|联系|致电|打$|没人接|号码|热线", re.I
 )
 _SAYS_ID = re.compile(
-    r"\bssn\b|social security|insurance|identity|\bid number|\bid card|idcard|passport|passeport|pasaporte|reisepass|ausweis|\bnino\b|steuer|\bsécu|"
+    r"\bssn\b|social security|social insurance|insurance|identity|\bid number|\bid card|idcard|passport|passeport|pasaporte|reisepass|ausweis|\bnino\b|steuer|\bsécu|"
     r"\bnir\b|\bdni\b|\bnie\b|tax id|national|身份证|证件|护照|身份", re.I
 )
 _SAYS_OTHER = re.compile(
