@@ -128,7 +128,7 @@ _IDS = (
     (r"[A-Z]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[0-9]{2}[ ]?[A-D]", 0.5, None, 0.0),
     (r"[A-Z]{1,2}[0-9]{7,8}", 0.15, None, 0.0),
     (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.45, None, 0.0),
-    (r"[0-9]{3}([ -])[0-9]{3}\1[0-9]{3}", 0.0, luhn, 0.2),
+    (r"(?<![0-9] )[0-9]{3}([ -])[0-9]{3}\1[0-9]{3}(?! [0-9])", 0.0, luhn, 0.2),
     (r"[0-9]{3}([ ]?)[0-9]{2}\1[0-9]{4}", 0.15, None, 0.0),
 )
 IDS = tuple((re.compile(rf"{_LEFT}{p}{_RIGHT}", re.I), *rest) for p, *rest in _IDS)

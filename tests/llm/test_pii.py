@@ -26,6 +26,7 @@ FOUND = {
     "Le numéro de sécu 1 99 13 99 374 689 45 apparaît": [("id_number", "1 99 13 99 374 689 45")],
     "El DNI 00045607K sale en el registro": [("id_number", "00045607K")],
     "证件号：990102 19650602 067X。": [("id_number", "990102 19650602 067X")],
+    "Die Steuernummer 00 497 252 635 steht im Protokoll.": [("id_number", "00 497 252 635")],
     "social insurance number 046 454 286 on file": [("id_number", "046 454 286")],
     "passport X00000135 shows up": [("id_number", "X00000135")],
     "National insurance no. QQ 15 00 55 A was printed": [("id_number", "QQ 15 00 55 A")],
