@@ -69,18 +69,23 @@ def compaction(turns: DataFrame, keep: int = 3, rounds: int = 8, most_tokens: in
     )
 
 
-def summaries(turns: DataFrame, span: int = 4, keep: int = 3) -> DataFrame:
-    """First-level summaries: one per ``span`` turns of a session before its last ``keep``; the spans don't overlap or leave gaps.
+def summaries(turns: DataFrame, span: int = 4, keep: int = 3, tail: bool = False) -> DataFrame:
+    """First-level summaries: one per ``span`` turns of a session before its last ``keep``; the spans don't overlap.
 
     ``session_id, level, covers_start, covers_end, n_rows, n_chars, digest``.
+    Without ``tail`` only whole spans are summed up, and the up to ``span`` - 1
+    turns between the last one and the kept turns are in none. With it the last
+    span ends at the last turn before the kept ones, so every turn from number 1
+    on is either in a summary or kept.
     """
-    last = turns.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    last = turns.groupBy("session_id").agg((F.max("turn") - keep).alias("_end"))
     part = F.floor((F.col("turn") - 1) / span)
+    whole = (part + 1) * span
     return (
         turns.where(F.col("turn") >= 1)
         .join(last, "session_id")
-        .where((part + 1) * span <= F.col("_last") - keep)
-        .groupBy("session_id", part.alias("part"))
+        .where((F.col("turn") if tail else whole) <= F.col("_end"))
+        .groupBy("session_id", part.alias("part"), F.least(whole, "_end").alias("_to"))
         .agg(
             F.count("*").alias("n_rows"),
             F.sum(F.length(F.coalesce("content", F.lit("")))).alias("n_chars"),
@@ -88,7 +93,7 @@ def summaries(turns: DataFrame, span: int = 4, keep: int = 3) -> DataFrame:
         )
         .select(
             "session_id", F.lit(1).alias("level"), (F.col("part") * span + 1).cast("int").alias("covers_start"),
-            ((F.col("part") + 1) * span).cast("int").alias("covers_end"), "n_rows", "n_chars", "digest",
+            F.col("_to").cast("int").alias("covers_end"), "n_rows", "n_chars", "digest",
         )
     )
 
@@ -121,9 +126,12 @@ def marked_superseded(summaries: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def context(turns: DataFrame, span: int = 4, keep: int = 3) -> DataFrame:
-    """What a session is continued with: active summaries first, then the recent turns word for word."""
-    active = superseded(summaries(turns, span, keep)).where(~F.col("superseded"))
+def context(turns: DataFrame, span: int = 4, keep: int = 3, tail: bool = False) -> DataFrame:
+    """What a session is continued with: active summaries first, then the recent turns word for word.
+
+    With ``tail`` the two together hold every turn, see ``summaries``.
+    """
+    active = superseded(summaries(turns, span, keep, tail)).where(~F.col("superseded"))
     first = active.select(
         "session_id", F.lit(0).alias("block"), F.col("covers_start").alias("place"), F.col("level").cast("int").alias("rank"),
         F.concat(F.lit("["), "covers_start", F.lit("-"), "covers_end", F.lit("]")).alias("line"),

@@ -57,6 +57,24 @@ def rendered_context(spark, sf_dir):
     return memory.rendered(memory.context(_turns(spark, sf_dir), SPAN, KEEP))
 
 
+def whole_summaries(spark, sf_dir):
+    """``summaries`` with the turns between the last whole span and the recent ones."""
+    return memory.summaries(_turns(spark, sf_dir), SPAN, KEEP, tail=True)
+
+
+def whole_summaries_supersede(spark, sf_dir):
+    return memory.superseded(whole_summaries(spark, sf_dir), 2)
+
+
+def whole_context(spark, sf_dir):
+    """``episodic_context`` without a lost turn: every turn from number 1 on is in a summary or among the recent ones."""
+    return memory.context(_turns(spark, sf_dir), SPAN, KEEP, tail=True)
+
+
+def whole_rendered_context(spark, sf_dir):
+    return memory.rendered(whole_context(spark, sf_dir))
+
+
 def tool_stats(spark, sf_dir):
     calls = memory.tool_calls(read(spark, sf_dir, "episodic_turns")).where(F.col("tool_name").isNotNull())
     return calls.groupBy("tool_name").agg(
@@ -203,6 +221,23 @@ lines AS (
   UNION ALL SELECT session_id, 1, turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END, concat_ws(': ', role, coalesce(content, ''))
   FROM (SELECT * FROM turns QUALIFY turn > max(turn) OVER (PARTITION BY session_id) - {KEEP})
 )"""
+_TAILED = f"""{_UPSERT},
+lasts AS (SELECT session_id, max(turn) - {KEEP} AS ends FROM turns GROUP BY 1),
+summary AS (
+  SELECT session_id, 1 AS level, CAST((turn - 1) // {SPAN} * {SPAN} + 1 AS INTEGER) AS covers_start,
+         CAST(least(((turn - 1) // {SPAN} + 1) * {SPAN}, any_value(ends)) AS INTEGER) AS covers_end, count(*) AS n_rows,
+         CAST(sum(length(coalesce(content, ''))) AS BIGINT) AS n_chars,
+         md5(string_agg(concat_ws(':', turn, role, content), '|' ORDER BY concat_ws(':', turn, role, content))) AS digest
+  FROM turns JOIN lasts USING (session_id) WHERE turn BETWEEN 1 AND ends GROUP BY session_id, (turn - 1) // {SPAN}
+),
+per AS (SELECT session_id, count(*) AS n, min(covers_start) AS a, max(covers_end) AS b, CAST(sum(n_rows) AS BIGINT) AS r FROM summary GROUP BY 1)"""
+_TAILED_CONTEXT = f"""{_TAILED}, lines AS (
+  SELECT session_id, 0 AS block, covers_start AS place, 1 AS rank, '[' || covers_start || '-' || covers_end || ']' AS line
+  FROM summary JOIN per USING (session_id) WHERE n < 4
+  UNION ALL SELECT session_id, 0, a, 2, '[' || a || '-' || b || ']' FROM per WHERE n >= 4
+  UNION ALL SELECT session_id, 1, turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END, concat_ws(': ', role, coalesce(content, ''))
+  FROM turns JOIN lasts USING (session_id) WHERE turn > ends
+)"""
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 _FOLD = (
     "lower(regexp_replace(regexp_replace({0}, '^[" + _SPACE + "]+|[" + _SPACE + "]+$', '', 'g'), '[" + _SPACE + "]+', ' ', 'g'))"
@@ -270,6 +305,12 @@ SELECT session_id, level, covers_start, covers_end, n_rows, n >= 2 AS superseded
 UNION ALL SELECT session_id, 2, a, b, r, false FROM per WHERE n >= 2""",
     "episodic_context": f"WITH {_CONTEXT} SELECT * FROM lines",
     "rendered_context": f"WITH {_CONTEXT} SELECT session_id, string_agg(line, chr(10) ORDER BY block, place, rank, line) AS text FROM lines GROUP BY 1",
+    "whole_summaries": f"WITH {_TAILED} SELECT * FROM summary",
+    "whole_summaries_supersede": f"""WITH {_TAILED}
+SELECT session_id, level, covers_start, covers_end, n_rows, n >= 2 AS superseded FROM summary JOIN per USING (session_id)
+UNION ALL SELECT session_id, 2, a, b, r, false FROM per WHERE n >= 2""",
+    "whole_context": f"WITH {_TAILED_CONTEXT} SELECT * FROM lines",
+    "whole_rendered_context": f"WITH {_TAILED_CONTEXT} SELECT session_id, string_agg(line, chr(10) ORDER BY block, place, rank, line) AS text FROM lines GROUP BY 1",
     "tool_stats": f"""WITH {_CALLS}
 SELECT tool_name, count(*) AS n, count(*) FILTER (success) AS n_success, round(avg(latency_ms), 4) AS mean_ms, max(latency_ms) AS most_ms
 FROM calls WHERE tool_name IS NOT NULL GROUP BY 1""",

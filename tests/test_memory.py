@@ -72,3 +72,13 @@ def test_versions(spark):
     assert memory.latest(df, ["user_id", "field"]).first()["value"] == "SRE"
     got = memory.newest(df, ["user_id", "field"], 2).orderBy("place").collect()
     assert [r["value"] for r in got] == ["SRE", "tie"]
+
+
+def test_summaries_and_recent_turns_hold_every_turn(spark):
+    for n in range(1, 22):
+        rows = turns(spark, n)
+        covered = [t for r in memory.summaries(rows, 4, 3, tail=True).collect() for t in range(r["covers_start"], r["covers_end"] + 1)]
+        kept = {r["turn"] for r in memory.recent(rows, 3).collect()}
+        assert sorted([*covered, *kept]) == list(range(1, n + 1))
+    text = memory.rendered(memory.context(turns(spark, 10), span=4, keep=3, tail=True)).first()["text"]
+    assert text.split("\n")[:3] == ["[1-4]", "[5-7]", "user: user 8"]
