@@ -6,6 +6,7 @@ them in one job. Ties are broken by id, so ranks are the same in every run.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import snippet, words
-from fathomline.session import spread
+from fathomline.session import BROADCAST_ROWS, cut, spread
 
 K1, B = 1.5, 0.75
 #: Vectors in a block; a pair of blocks is compared by one matrix product.
 BLOCK = 2048
+#: Documents and queries in a block of a term search.
+DOC_BLOCK, QUERY_BLOCK = 4096, 512
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,38 +58,137 @@ def _ranked(scores: DataFrame, n: int) -> DataFrame:
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
     """``qid, id, score, rank``: the n best documents of each query by BM25; documents without any of its terms aren't listed.
 
-    Only postings of query terms leave the index. ``stats`` has one row.
+    Only postings of query terms leave the index. ``stats`` has one row, which passes through the driver.
     """
-    asked = query_terms(queries)
+    asked = cut(query_terms(queries))
+    total = stats.first()
+    terms = asked.select("term").distinct()
+    if terms.count() <= BROADCAST_ROWS:
+        terms = F.broadcast(terms)
     # the index has one row per term and document, so its rows of a term are the term's documents
-    frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "mean_terms")
-    size = K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms"))
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + size)
-    scores = index.join(weighted, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return _ranked(scores, n)
+    known = index.join(terms, "term", "left_semi")
+    frequency = known.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(total["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = cut(asked.join(frequency, "term").select("qid", "term", idf.alias("weight")))
+    size = K1 * (1 - B + B * F.col("n_terms") / F.lit(total["mean_terms"]).cast("double"))
+    parts = known.select("id", "term", (F.col("tf") / (F.col("tf") + size)).alias("weight"))
+    return _ranked(_best(parts, weighted, n, lambda s: np.round(s, 6), total["n_docs"]), n)
 
 
-def keyword(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """``qid, id, score, rank, snippet``: title hits count three, text hits one, category hits a half, s / (s + 3).
+def term_hits(docs: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``id, term, weight``: the terms that a document's columns contain, also inside of words, with the columns' weights added.
 
-    Queries are few against documents; they meet in blocks that Spark broadcasts by size.
+    A term lies within one word of a text, so only distinct words are searched:
+    their pieces of the lengths that terms have are joined with the terms.
     """
-    asked = queries.select("qid", F.array_distinct(words(F.col("query"))).alias("terms"))
-    low = spread(docs.select("id", "text", "title", "category")).select(
-        "id", "text", *[F.lower(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("title", "category", "text")]
-    )
+    word = F.explode(F.array_distinct(words(F.col("_t")))).alias("word")
+    rows = spread(docs)
+    placed = None
+    for column, weight in weights.items():
+        part = rows.select("id", F.col(column).alias("_t")).select("id", F.lit(float(weight)).alias("weight"), F.lit(column).alias("place"), word)
+        placed = part if placed is None else placed.unionByName(part)
+    # a very long word would be repeated with each of its pieces, so 128 bits stand for it
+    placed = cut(placed.withColumn("key", F.md5("word")))
+    lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for key, text, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for size in sizes:
+                    if size > len(text):
+                        break
+                    some = {text[i : i + size] for i in range(len(text) - size + 1)}
+                    keys += [key] * len(some)
+                    found += some
+                    if len(keys) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["key", "term"])
+                        keys, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], names=["key", "term"])
+
+    distinct = placed.select("key", "word").distinct().crossJoin(F.broadcast(lengths))
+    within = distinct.mapInArrow(pieces, "key string, term string").join(terms.select("term").distinct(), "term", "left_semi")
+    # a column counts once for a term, in however many of its words the term is
+    hits = placed.join(within, "key").select("id", "term", "place", "weight").distinct()
+    return hits.groupBy("id", "term").agg(F.sum("weight").alias("weight"))
 
-    def hits(column: str) -> Column:
-        return F.size(F.filter("terms", lambda t: F.contains(F.col(column), t)))
 
-    raw = 3 * hits("_title") + hits("_text") + 0.5 * hits("_category")
-    found = low.crossJoin(asked).withColumn("raw", raw).where(F.col("raw") > 0)
-    scored = found.select(
-        "qid", "id", "text", "terms", F.round(F.col("raw") / (F.col("raw") + 3), 3).alias("score")
+def keyword(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """``qid, id, score, rank, snippet``: title hits count three, text hits one, category hits a half, s / (s + 3)."""
+    asked = query_terms(queries)
+    hits = cut(term_hits(docs, asked, {"title": 3, "text": 1, "category": 0.5}))
+    best = _best(hits, asked.withColumn("weight", F.lit(1.0)), n, lambda s: np.floor(s / (s + 3) * 1000 + 0.5) / 1000)
+    first = queries.select("qid", F.get(words(F.col("query")), F.lit(0)).alias("_first"))
+    shown = _ranked(best, n).join(docs.select("id", "text"), "id").join(first, "qid")
+    return shown.select("qid", "id", "score", "rank", snippet(F.col("text"), F.col("_first")).alias("snippet"))
+
+
+def _term_blocks(rows: DataFrame, key: str, prefix: str, size: int, total: int | None = None) -> DataFrame:
+    """Rows ``key, term, weight`` packed into one row for about ``size`` keys: sorted keys, terms, and where each term's entries end."""
+    total = rows.select(key).distinct().count() if total is None else total
+    n = max(1, math.ceil(total / size))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        coded = table.column("term").combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+        packed = {
+            "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+            "terms": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
+            "ends": pa.array([ends.astype(np.int64).tobytes()], pa.binary()),
+            "at": pa.array([at[order].astype(np.int64).tobytes()], pa.binary()),
+            "weights": pa.array([table.column("weight").to_numpy()[order].astype(np.float64).tobytes()], pa.binary()),
+        }
+        return pa.table({f"{prefix}_{name}": column for name, column in packed.items()})
+
+    kinds = {"ids": "binary", "terms": "array<string>", "ends": "binary", "at": "binary", "weights": "binary"}
+    blocked = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.col(key).cast("long").alias("id"), "term", F.col("weight").cast("double").alias("weight")
     )
-    return _ranked(scored, n).select("qid", "id", "score", "rank", snippet(F.col("text"), F.col("terms")[0]).alias("snippet"))
+    return blocked.groupBy("block").applyInArrow(pack, ", ".join(f"{prefix}_{name} {kind}" for name, kind in kinds.items()))
+
+
+def _best(docs: DataFrame, queries: DataFrame, n: int, score: Callable[[np.ndarray], np.ndarray], n_docs: int | None = None) -> DataFrame:
+    """``qid, id, score`` of the n best documents of each query in each block; weights of common terms are multiplied and added up.
+
+    Blocks of queries meet blocks of documents; pairs of a query and a document are never rows.
+    """
+    data, asked = _term_blocks(docs, "id", "d", DOC_BLOCK, n_docs), _term_blocks(queries, "qid", "q", QUERY_BLOCK)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = lambda name, kind=np.int64: np.frombuffer(row[name], kind)  # noqa: B023, E731
+                ids, qids = part("d_ids"), part("q_ids")
+                d_at, d_ends, d_weights = part("d_at"), part("d_ends"), part("d_weights", np.float64)
+                q_at, q_ends, q_weights = part("q_at"), part("q_ends"), part("q_weights", np.float64)
+                place = {term: i for i, term in enumerate(row["d_terms"])}
+                sums = np.zeros((len(qids), len(ids)))
+                # in the order of terms, so that equal sums are added up equally
+                for term, j in sorted((t, j) for j, t in enumerate(row["q_terms"])):
+                    i = place.get(term)
+                    if i is not None:
+                        d, q = slice(d_ends[i - 1] if i else 0, d_ends[i]), slice(q_ends[j - 1] if j else 0, q_ends[j])
+                        columns, values = d_at[d], d_weights[d]
+                        for line, weight in zip(q_at[q], q_weights[q], strict=True):
+                            sums[line, columns] += weight * values
+                found = ([], [], [])
+                for line, qid in enumerate(qids):
+                    hit = np.flatnonzero(sums[line])
+                    got = score(sums[line, hit])
+                    if len(hit) > n:
+                        most = got >= np.partition(got, len(got) - n)[len(got) - n]
+                        hit, got = hit[most], got[most]
+                    # columns are in order of ids, which the stable sort keeps for equal scores
+                    order = np.argsort(-got, kind="stable")[:n]
+                    for to, values in zip(found, (np.full(len(order), qid), ids[hit[order]], got[order]), strict=True):
+                        to.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["qid", "id", "score"])
+
+    met = data.repartition(data.sparkSession.sparkContext.defaultParallelism).crossJoin(asked)
+    return met.mapInArrow(compare, "qid long, id long, score double")
 
 
 # --- vectors -----------------------------------------------------------------
@@ -232,26 +334,32 @@ def rewritten(queries: DataFrame, rewrite: Callable[[Column], Column] = lambda q
     return queries.withColumn("query", F.when(good, F.concat_ws(" ", "query", new)).otherwise(F.col("query")))
 
 
-def ir_metrics(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
-    """``qid, recall, rr, ndcg`` at k for each query of ``gold`` (``qid, id, rel`` > 0)."""
+def ir_metrics(ranked: DataFrame, gold: DataFrame, k: int = 5, asked: DataFrame | None = None) -> DataFrame:
+    """``qid, recall, rr, ndcg`` at k for each query of ``gold`` (``qid, id, rel`` > 0).
+
+    With ``asked`` (``qid, label``), gold is ``label, id, rel`` and stands for
+    all queries of a label, so it doesn't grow with their number.
+    """
     gain = lambda rel: F.pow(F.lit(2.0), rel) - 1
-    judged = ranked.where(F.col("rank") <= k).join(gold, ["qid", "id"])
+    key = "qid" if asked is None else "label"
+    top = ranked.where(F.col("rank") <= k)
+    judged = (top if asked is None else top.join(asked, "qid")).join(gold, [key, "id"])
     got = judged.groupBy("qid").agg(
         F.count("*").alias("hits"),
         F.min("rank").alias("first"),
         F.sum(gain(F.col("rel")) / F.log2(F.col("rank") + 1)).alias("dcg"),
     )
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc(), "id"))
-    best = (
-        gold.withColumn("place", place)
-        .where(F.col("place") <= k)
-        .groupBy("qid")
-        .agg(F.sum(gain(F.col("rel")) / F.log2(F.col("place") + 1)).alias("ideal"))
+    # places of equal relevance are counted, not sorted
+    above = Window.partitionBy(key).orderBy(F.col("rel").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = gold.groupBy(key, "rel").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    places = counted.where(F.col("above") < k).select(
+        key, "rel", F.explode(F.sequence(F.col("above") + 1, F.least(F.col("above") + F.col("n"), F.lit(k)))).alias("place")
     )
-    wanted = gold.groupBy("qid").agg(F.count("*").alias("n_gold"))
+    best = places.groupBy(key).agg(F.sum(gain(F.col("rel")) / F.log2(F.col("place") + 1)).alias("ideal"))
+    wanted = counted.groupBy(key).agg(F.sum("n").alias("n_gold")).join(best, key)
     zero = F.lit(0.0)
     return (
-        wanted.join(best, "qid")
+        (wanted if asked is None else asked.join(wanted, "label"))
         .join(got, "qid", "left")
         .select(
             "qid",

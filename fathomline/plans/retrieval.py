@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import words
@@ -20,6 +20,17 @@ def _queries(spark, sf_dir) -> DataFrame:
     )
 
 
+def _title_or_sentence(text: str) -> Column:
+    """What a row asks for: its title, or else its first sentence."""
+    sentence = F.regexp_extract(text, r"[^\s#][^.!?。！？\n]*", 0)
+    return F.when(F.col("title") != "", F.col("title")).otherwise(sentence)
+
+
+def _document_queries(spark, sf_dir) -> DataFrame:
+    asked = read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
+    return asked.select(F.col("doc_id").alias("qid"), _title_or_sentence("text").alias("query"))
+
+
 def _docs(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "title", "category", "text")
 
@@ -49,6 +60,16 @@ def keyword_search(spark, sf_dir):
     return retrieval.keyword(_docs(spark, sf_dir), _queries(spark, sf_dir), BEST)
 
 
+def document_bm25(spark, sf_dir):
+    """The best documents, by terms, for the title of every twentieth one."""
+    index, stats = _index(spark, sf_dir)
+    return retrieval.bm25(index, stats, _document_queries(spark, sf_dir), TOP).select("qid", "id", "score", "rank")
+
+
+def document_keywords(spark, sf_dir):
+    return retrieval.keyword(_docs(spark, sf_dir), _document_queries(spark, sf_dir), BEST)
+
+
 def vector_topk(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
@@ -76,6 +97,13 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fused_ranks(lists, RRF_K, POOL)
 
 
+def document_fusion(spark, sf_dir):
+    index, stats = _index(spark, sf_dir)
+    asked = _document_queries(spark, sf_dir)
+    lists = [retrieval.bm25(index, stats, asked, POOL), retrieval.keyword(_docs(spark, sf_dir), asked, POOL)]
+    return retrieval.fused_ranks(lists, RRF_K, POOL)
+
+
 def _chunks(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "kb_chunks").select("id", F.col("doc_id").alias("group_id"), "content")
 
@@ -93,6 +121,18 @@ def hybrid_search(spark, sf_dir):
     )
 
 
+def chunk_hybrid(spark, sf_dir):
+    """``hybrid_search`` for the title and the own vector of every twentieth chunk; without a vector, by terms alone."""
+    docs = _chunks(spark, sf_dir)
+    index = cut(retrieval.postings(docs, "id", "content"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    chunks = read(spark, sf_dir, "kb_chunks").where(F.col("id") % EVERY == 0)
+    asked = chunks.select(F.col("id").alias("qid"), _title_or_sentence("content").alias("query"))
+    asked = asked.join(vectors.withColumnRenamed("id", "qid"), "qid", "left")
+    known = vectors.join(docs.select("id"), "id", "left_semi")
+    return retrieval.hybrid(docs, index, retrieval.corpus_stats(index), known, asked, POOL, RRF_K, MIN_SCORE, BEST)
+
+
 def _gold(spark, sf_dir) -> DataFrame:
     """A document is relevant to a query if its label is the query's language, twice so if it is short."""
     asked = read(spark, sf_dir, "lang_reference").select(F.col("item_id").alias("qid"), "lang")
@@ -104,6 +144,13 @@ def ir_metrics(spark, sf_dir):
     return retrieval.ir_metrics(bm25_topk(spark, sf_dir), _gold(spark, sf_dir), BEST)
 
 
+def document_ir_metrics(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(F.col("lang").isNotNull())
+    asked = docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.col("lang").alias("label"))
+    gold = docs.select(F.col("lang").alias("label"), F.col("doc_id").alias("id"), F.when(F.col("n_chars") < 800, 2).otherwise(1).alias("rel"))
+    return retrieval.ir_metrics(document_bm25(spark, sf_dir), gold, BEST, asked)
+
+
 def chunk_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "category", "text")
     return chunking.chunked(docs)
@@ -228,4 +275,19 @@ CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS n_chars FROM kb_chunks WHER
     "document_terms": f"""WITH listed AS (SELECT doc_id, {_words("text")} AS w FROM documents)
 SELECT doc_id, CAST(len(w) AS INTEGER) AS n_terms, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct FROM listed""",
 }
+#: The same statements, asked by every twentieth document or chunk.
+_ASKED = r"coalesce(nullif(title, ''), regexp_extract({0}, '[^\s#][^.!?。！？\n]*')) AS query"
+_DOCUMENT_QUERIES = f"queries AS (SELECT doc_id AS qid, {_ASKED.format('text')} FROM documents WHERE doc_id % {EVERY} = 0)"
+for _new, _old in (("document_bm25", "bm25_topk"), ("document_keywords", "keyword_search"), ("document_fusion", "rrf_fusion"), ("document_ir_metrics", "ir_metrics")):
+    ORACLE[_new] = ORACLE[_old].replace(_QUERIES, _DOCUMENT_QUERIES).replace(
+        "SELECT l.item_id AS qid, d.doc_id AS id", "SELECT l.doc_id AS qid, d.doc_id AS id"
+    ).replace("FROM lang_reference l JOIN documents d ON d.lang = l.lang", f"FROM documents l JOIN documents d ON d.lang = l.lang WHERE l.doc_id % {EVERY} = 0")
+ORACLE["chunk_hybrid"] = (
+    ORACLE["hybrid_search"]
+    .replace(
+        "SELECT item_id AS qid, text AS query, embedding AS v FROM lang_reference JOIN embeddings ON vec_id = item_id WHERE text IS NOT NULL",
+        f"SELECT id AS qid, {_ASKED.format('content')}, embedding AS v FROM kb_chunks LEFT JOIN embeddings ON vec_id = id WHERE id % {EVERY} = 0",
+    )
+    .replace("ON vec_id = chunks.id)", "ON vec_id = chunks.id WHERE v IS NOT NULL)")
+)
 QUERIES = {name: globals()[name] for name in [*ORACLE, "chunk_documents"]}

@@ -99,3 +99,33 @@ def test_chunked_frame(spark):
     docs = spark.createDataFrame([(1, "c", "# T\n## A\na\nb\nc"), (2, None, None), (3, "c", "")], "doc_id long, category string, text string")
     got = chunking.chunked(docs).collect()
     assert [(r["doc_id"], r["title"], r["section"], r["chunk_index"], r["line_end"]) for r in got] == [(1, "T", "A", 0, 5)]
+
+
+def test_every_twentieth_document_and_chunk_asks(spark, sf_dir):
+    from fathomline.plans import retrieval as plans
+    from fathomline.session import read
+
+    docs = read(spark, sf_dir, "documents").where("doc_id % 20 = 0 and title is not null and text is not null")
+    wanted = {r[0] for r in docs.select("doc_id").collect()}
+    assert wanted and wanted <= {r["qid"] for r in plans.document_bm25(spark, sf_dir).collect()}
+    assert wanted <= {r["qid"] for r in plans.document_fusion(spark, sf_dir).collect()}
+
+
+def test_term_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(2)
+    parts = ["dns", "dn", "lookup", "look", "锁", "token_x", "x", "reef", "cache锁x"]
+    text = lambda n: " ".join(parts[i] for i in rng.integers(0, len(parts), n))
+    rows = [(i, text(i % 3), text(i % 5), text(1)) for i in range(60)]
+    asked = {q: text(1 + q % 3) for q in range(10)}
+    docs = spark.createDataFrame(rows, "id long, title string, text string, category string")
+    queries = spark.createDataFrame(list(asked.items()), "qid long, query string")
+    got = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in retrieval.keyword(docs, queries, 5).collect()}
+    for q, query in asked.items():
+        terms = set(query.replace("cache锁x", "cache 锁 x").split())
+        count = lambda t: sum(term in t for term in terms)  # noqa: B023, E731
+        raw = {i: 3 * count(a) + count(b) + 0.5 * count(c) for i, a, b, c in rows}
+        want = sorted(((-math.floor(v / (v + 3) * 1000 + 0.5) / 1000, i) for i, v in raw.items() if v))[:5]
+        assert [got[q, k + 1] for k in range(len(want))] == [(i, -s) for s, i in want]
+        assert (q, len(want) + 1) not in got
