@@ -173,3 +173,21 @@ def newest(versions: DataFrame, keys: list[str], n: int, at: str = "created_at",
     """The n newest versions of each key, numbered from 1."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(order).desc()))
     return versions.withColumn("place", place).where(F.col("place") <= n)
+
+
+def all_versions(versions: DataFrame, keys: list[str], at: str = "created_at", order: str = "id", period_days: int = 30) -> DataFrame:
+    """Every version of each key, numbered from 1, the newest.
+
+    Versions are sorted only within a key and period; the counts of a key's
+    periods, one row each, are added up. Null is a key like others.
+    """
+    binned = versions.withColumn("_bin", F.floor(F.unix_seconds(at) / F.lit(period_days * 86_400)))
+    newer = Window.partitionBy(*keys).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = counts.select(
+        *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_bin"]], F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(*keys, "_bin").orderBy(F.col(at).desc(), F.col(order).desc())
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_bin"]]
+    numbered = binned.withColumn("_place", F.row_number().over(inside)).join(before, same)
+    return numbered.select(*versions.columns, (F.col("_before") + F.col("_place")).alias("place"))

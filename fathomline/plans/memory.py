@@ -95,6 +95,12 @@ def profile_newest(spark, sf_dir):
     return memory.newest(keyed, ["user_id", "field"], NEWEST).select("user_id", "field", "place", "value", "id")
 
 
+def profile_versions(spark, sf_dir):
+    """The whole history of each field, newest first; ``profile_newest`` is its top 3."""
+    keyed = _statements(spark, sf_dir)
+    return memory.all_versions(keyed, ["user_id", "field"]).select("user_id", "field", "place", "value", "id")
+
+
 def _statements(spark, sf_dir) -> DataFrame:
     rows = read(spark, sf_dir, "profile").where(F.col("created_at").isNotNull())
     return rows.withColumns({"user_id": text.fold_key(F.col("user_id")), "field": text.fold_key(F.col("field"))})
@@ -319,6 +325,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY created_at DESC,
     "profile_newest": f"""WITH {_STATED}, placed AS (
   SELECT user_id, field, CAST(row_number() OVER (PARTITION BY user_id, field ORDER BY created_at DESC, id DESC) AS INTEGER) AS place, value, id FROM stated)
 SELECT * FROM placed WHERE place <= {NEWEST}""",
+    "profile_versions": f"""WITH {_STATED}
+SELECT user_id, field, row_number() OVER (PARTITION BY user_id, field ORDER BY created_at DESC, id DESC) AS place, value, id FROM stated""",
     "patterns_without_profile": """SELECT p.id, p.user_id FROM profile_fault_patterns p
 WHERE NOT EXISTS (SELECT 1 FROM profile q WHERE q.user_id = p.user_id)""",
     "sources_without_weight": """WITH docs AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)

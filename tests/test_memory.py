@@ -82,3 +82,14 @@ def test_summaries_and_recent_turns_hold_every_turn(spark):
         assert sorted([*covered, *kept]) == list(range(1, n + 1))
     text = memory.rendered(memory.context(turns(spark, 10), span=4, keep=3, tail=True)).first()["text"]
     assert text.split("\n")[:3] == ["[1-4]", "[5-7]", "user: user 8"]
+
+
+def test_all_versions_are_numbered_across_periods(spark):
+    rows = [(i, "u" if i % 3 else None, "role", f"v{i}", T0 + dt.timedelta(days=7 * (i // 2))) for i in range(40)]
+    versions = spark.createDataFrame(rows, "id long, user_id string, field string, value string, created_at timestamp")
+    got = {(r["user_id"], r["place"]): r["id"] for r in memory.all_versions(versions, ["user_id", "field"]).collect()}
+    want = {}
+    for user in ("u", None):
+        ids = sorted((r[0] for r in rows if r[1] == user), reverse=True)
+        want |= {(user, n + 1): i for n, i in enumerate(ids)}
+    assert got == want and len(got) == 40
