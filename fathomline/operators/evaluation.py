@@ -93,6 +93,13 @@ def report_by_group(runs: DataFrame, group: str, score: str, case: str, passed:
     )
 
 
+def forbidden_rate(runs: DataFrame, group: str, score: str, penalty: str) -> DataFrame:
+    """The share of each group's scored runs with a penalty above 0."""
+    return runs.where(F.col(score).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col(penalty) > 0).cast("int")), 6).alias("forbidden_rate")
+    )
+
+
 def volatility(runs: DataFrame, case: str, score: str) -> DataFrame:
     """Runs, median and range of each case's scores, and the class its range falls into."""
     spread = F.col("range")

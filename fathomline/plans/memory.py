@@ -163,6 +163,10 @@ def report_by_group(spark, sf_dir):
     return evaluation.report_by_group(_scored(spark, sf_dir), "difficulty", "total", "id")
 
 
+def forbidden_rate(spark, sf_dir):
+    return evaluation.forbidden_rate(_scored(spark, sf_dir), "difficulty", "total", "penalty")
+
+
 def volatility(spark, sf_dir):
     return evaluation.volatility(_scored(spark, sf_dir).where(F.col("session_id").isNotNull()), "session_id", "total")
 
@@ -339,6 +343,8 @@ SELECT id, session_id, difficulty, round(tool, 4) AS tool, round(cite, 4) AS cit
     "report_by_group": f"""WITH {_SCORED}
 SELECT difficulty, count(*) AS n, round(avg(total), 6) AS mean_score, round(avg(CAST(total >= 0.7 AS INTEGER)), 6) AS pass_rate,
        arg_min(id, (total, id)) AS worst_case FROM scored GROUP BY 1""",
+    "forbidden_rate": f"""WITH {_SCORED}
+SELECT difficulty, count(*) AS n, round(avg(CAST(penalty > 0 AS INTEGER)), 6) AS forbidden_rate FROM scored GROUP BY 1""",
     "volatility": f"""WITH {_SCORED}, spread AS (
   SELECT session_id, count(*) AS n_runs, count(total) AS n_scored, round(median(total), 6) AS median, round(max(total) - min(total), 6) AS range
   FROM scored WHERE session_id IS NOT NULL GROUP BY 1)

@@ -81,3 +81,9 @@ def test_gate_tries_twice_and_then_discards(spark):
     lines = spark.createDataFrame(rows, "seq long, level string, msg string, fault boolean")
     got = {r["seq"]: (r["level"], r["score"], r["attempts"]) for r in synthesis.gated(lines, 0.75).collect()}
     assert got == {1: ("INFO", 1.0, 1), 2: ("ERRO", 1.0, 2)}
+
+
+def test_forbidden_rate_counts_scored_runs(spark):
+    rows = spark.createDataFrame([("a", 0.9, 0.0), ("a", 0.2, 0.1), ("a", None, 0.3), ("b", 0.5, 0.0)], "g string, total double, penalty double")
+    got = {r["g"]: (r["n"], r["forbidden_rate"]) for r in evaluation.forbidden_rate(rows, "g", "total", "penalty").collect()}
+    assert got == {"a": (2, 0.5), "b": (1, 0.0)}
