@@ -156,6 +156,12 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunked(docs)
 
 
+def chunk_symptoms(spark, sf_dir):
+    """``chunk_documents`` with each document's stored title as the symptom that leads its chunks."""
+    docs = read(spark, sf_dir, "documents")
+    return chunking.chunked(docs.select("doc_id", "category", "text"), docs.select("doc_id", F.col("title").alias("symptom")))
+
+
 def chunk_sizes(spark, sf_dir):
     """Chunks of each knowledge document as stored: number, gaps in their order, and characters."""
     rows = read(spark, sf_dir, "kb_chunks").where(F.col("doc_id").isNotNull())
@@ -219,7 +225,71 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance,
 SELECT * FROM ranked WHERE rank <= {n}"""
 
 
+_WHITE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+_STRIP = "regexp_replace({0}, '^[" + _WHITE + "]+|[" + _WHITE + "]+$', '', 'g')"
+
+
+def _chunk_sql(symptom: str) -> str:
+    strip = lambda c: _STRIP.replace("{0}", c)
+    return rf"""WITH RECURSIVE lined AS (
+  SELECT doc_id, category, CASE WHEN coalesce({symptom}, '') <> '' THEN '{chunking.SYMPTOM}' || {symptom} || chr(10) || chr(10) ELSE '' END AS lead,
+         string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\z', ''), chr(10)) AS ls
+  FROM documents WHERE regexp_matches(text, '[^{_WHITE}]')
+),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM lined),
+named AS (
+  SELECT doc_id, {strip(r"regexp_extract(arg_min(line, n), '^[ \t]*# (.+)', 1)")} AS title FROM lines
+  WHERE regexp_matches(line, '^[ \t]*# .') GROUP BY 1
+),
+placed AS (
+  SELECT *, greatest(sum(CAST(regexp_matches(line, '^[ \t]*## ') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n), 1) AS s FROM lines
+),
+section AS (
+  SELECT doc_id, s, min(n) AS a, max(n) AS b, string_agg(line, chr(10) ORDER BY n) AS body,
+         count(*) FILTER (regexp_matches(line, '[^{_WHITE}]')) >= {chunking.LEAST_LINES} AS is_full,
+         coalesce({strip(r"regexp_extract(min(line) FILTER (regexp_matches(line, '^[ \t]*## ')), '^[ \t]*## (.*)', 1)")}, '{chunking.WHOLE}') AS name
+  FROM placed GROUP BY 1, 2
+),
+owned AS (
+  SELECT *, greatest(sum(CAST(is_full AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s), 1) AS grp, bool_or(is_full) OVER (PARTITION BY doc_id) AS any_full
+  FROM section
+),
+framed AS (SELECT *, CASE WHEN any_full THEN min(s) FILTER (is_full) OVER (PARTITION BY doc_id, grp) ELSE max(s) OVER (PARTITION BY doc_id) END AS main FROM owned),
+whole AS (
+  SELECT doc_id, grp, bool_or(any_full) AS any_full, any_value(name) FILTER (s = main) AS name,
+         {strip("string_agg(body, chr(10) ORDER BY s) FILTER (s <= main)")} AS body,
+         coalesce(string_agg(chr(10) || chr(10) || {strip("body")}, '' ORDER BY s) FILTER (s > main), '') AS behind,
+         CASE WHEN bool_or(any_full) THEN any_value(a) FILTER (s = main) ELSE 1 END AS line_start, any_value(b) FILTER (s = main) AS own_end, max(b) AS line_end
+  FROM framed GROUP BY 1, 2
+),
+split AS (SELECT doc_id, grp, string_split(body, chr(10) || chr(10)) AS ps FROM whole WHERE any_full AND length(body) > {chunking.MOST_CHARS}),
+each AS (SELECT doc_id, grp, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM split),
+paragraph AS (
+  SELECT doc_id, grp, p, row_number() OVER (PARTITION BY doc_id, grp ORDER BY i) AS i FROM each WHERE regexp_matches(p, '[^{_WHITE}]')
+),
+packing AS (
+  SELECT doc_id, grp, i, p, 1 AS piece, length(p) AS size FROM paragraph WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.grp, n.i, n.p, CASE WHEN q.size + 2 + length(n.p) <= {chunking.MOST_CHARS} THEN q.piece ELSE q.piece + 1 END,
+         CASE WHEN q.size + 2 + length(n.p) <= {chunking.MOST_CHARS} THEN q.size + 2 + length(n.p) ELSE length(n.p) END
+  FROM packing q JOIN paragraph n ON n.doc_id = q.doc_id AND n.grp = q.grp AND n.i = q.i + 1
+),
+piece AS (
+  SELECT doc_id, grp, piece, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM packing GROUP BY 1, 2, 3
+  UNION ALL SELECT doc_id, grp, 1, body FROM whole WHERE NOT (any_full AND length(body) > {chunking.MOST_CHARS})
+),
+ended AS (SELECT *, piece = max(piece) OVER (PARTITION BY doc_id, grp) AS is_last FROM piece)
+SELECT doc_id, coalesce(title, CAST(doc_id AS VARCHAR)) AS title, category, CASE WHEN any_full THEN name ELSE '{chunking.WHOLE}' END AS section,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, piece) - 1 AS INTEGER) AS chunk_index,
+       lead || '[' || coalesce(title, CAST(doc_id AS VARCHAR)) || ']' || CASE WHEN any_full THEN ' ' || name ELSE '' END || chr(10) || chr(10) || text
+         || CASE WHEN is_last THEN behind ELSE '' END AS content,
+       CAST(line_start AS INTEGER) AS line_start, CAST(CASE WHEN is_last THEN line_end ELSE own_end END AS INTEGER) AS line_end
+FROM ended JOIN whole USING (doc_id, grp) JOIN lined USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 ORACLE = {
+    "chunk_documents": _chunk_sql("NULL"),
+    "chunk_symptoms": _chunk_sql("title"),
     "term_stats": f"""WITH {_DOCS}, listed AS (SELECT id, unnest({_words("text")}) AS term FROM docs),
 postings AS (SELECT id, term, count(*) AS tf FROM listed GROUP BY 1, 2)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY 1""",
@@ -290,4 +360,4 @@ ORACLE["chunk_hybrid"] = (
     )
     .replace("ON vec_id = chunks.id)", "ON vec_id = chunks.id WHERE v IS NOT NULL)")
 )
-QUERIES = {name: globals()[name] for name in [*ORACLE, "chunk_documents"]}
+QUERIES = {name: globals()[name] for name in ORACLE}

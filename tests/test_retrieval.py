@@ -82,23 +82,44 @@ def test_rewriting(spark):
     assert retrieval.rewritten(asked, lambda q: F.repeat(F.lit("b"), 300)).first()["query"] == "a"
 
 
-def test_chunking_rules():
+def chunks_of(spark, text, symptom=None):
+    docs = spark.createDataFrame([("x", "c", text)], "doc_id string, category string, text string")
+    signs = spark.createDataFrame([("x", symptom)], "doc_id string, symptom string")
+    return chunking.chunked(docs, signs).orderBy("chunk_index").collect()
+
+
+def test_chunking_rules(spark):
     long = "# T\n\n## A\nline\nline\nline\n\n## B\nshort\n\n## C\n" + "\n\n".join("p" * 500 for _ in range(5))
-    chunks = chunking.chunks_of(long, "T")
-    assert [c[0] for c in chunks] == ["A", "C", "C", "C"]
-    assert "short" in chunks[0][1] and chunks[0][2:] == (1, 10)
-    assert all(len(c[1]) <= 1300 for c in chunks)
-    assert chunking.chunks_of("just\ntext\nhere", "x")[0][0] == chunking.WHOLE
-    assert chunking.chunks_of("one line", "x") == [(chunking.WHOLE, "[x]\n\none line", 1, 1)]
-    assert chunking.chunks_of("", "x") == []
-    assert chunking.packed("p" * 3000) == ["p" * 3000]
-    assert chunking.chunks_of("a\nb\nc", "x", "slow")[0][1].startswith("【适用症状】slow")
+    chunks = chunks_of(spark, long)
+    assert [c["section"] for c in chunks] == ["A", "C", "C", "C"] and [c["chunk_index"] for c in chunks] == [0, 1, 2, 3]
+    assert "short" in chunks[0]["content"] and (chunks[0]["line_start"], chunks[0]["line_end"]) == (1, 10)
+    assert {(c["line_start"], c["line_end"]) for c in chunks[1:]} == {(11, 20)}
+    assert all(len(c["content"]) <= 1300 for c in chunks)
+    assert chunks_of(spark, "just\ntext\nhere")[0]["section"] == chunking.WHOLE
+    assert [tuple(c)[3:] for c in chunks_of(spark, "one line")] == [(chunking.WHOLE, 0, "[x]\n\none line", 1, 1)]
+    assert chunks_of(spark, "") == chunks_of(spark, " \n") == chunks_of(spark, None) == []
+    assert [len(c["content"]) for c in chunks_of(spark, "## A\nb\n" + "p" * 3000)] == [len("[x] A\n\n## A\nb\n") + 3000]
+    assert chunks_of(spark, "a\nb\nc", "slow")[0]["content"] == f"【适用症状】slow\n\n[x] {chunking.WHOLE}\n\na\nb\nc"
+
+
+def test_short_sections_before_the_first_full_one_lead_it(spark):
+    got = chunks_of(spark, "intro\r\n## S\r\n## F\r\n1\r\n2\r\n3\r\n## E\r\n")
+    assert [(c["section"], c["line_start"], c["line_end"]) for c in got] == [("F", 3, 7)]
+    assert got[0]["content"] == "[x] F\n\nintro\n## S\n## F\n1\n2\n3\n\n## E"
+
+
+def test_many_sections_and_repeated_rows(spark):
+    text = "\n".join(f"## s{i}\na\nb" for i in range(2000))
+    docs = spark.createDataFrame([(1, None, text)] * 2 + [(None, None, "a\nb\nc")], "doc_id long, category string, text string")
+    got = chunking.chunked(docs).groupBy("doc_id").count().collect()
+    assert {(r["doc_id"], r["count"]) for r in got} == {(1, 4000), (None, 1)}
 
 
 def test_chunked_frame(spark):
     docs = spark.createDataFrame([(1, "c", "# T\n## A\na\nb\nc"), (2, None, None), (3, "c", "")], "doc_id long, category string, text string")
     got = chunking.chunked(docs).collect()
     assert [(r["doc_id"], r["title"], r["section"], r["chunk_index"], r["line_end"]) for r in got] == [(1, "T", "A", 0, 5)]
+    assert chunking.chunked(docs.limit(0)).count() == 0
 
 
 def test_every_twentieth_document_and_chunk_asks(spark, sf_dir):
