@@ -1,7 +1,7 @@
 """Session helpers: settings, reading tables, and cutting lineage.
 
-Nothing here keeps state on one machine: intermediate tables go to the folder
-that the session names in ``spark.checkpoint.dir``.
+Intermediate tables go to the folder that the session names in
+``spark.checkpoint.dir``; outside a local session it has to be named.
 """
 
 from __future__ import annotations
@@ -36,23 +36,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer partitions than there are cores, spread over them; others as they are.
 
     For work that costs much per row over a table in few row groups. Larger
-    tables have partitions enough and aren't shuffled. Plans the scan, runs nothing.
+    tables have partitions enough and aren't shuffled. ``scan`` is to be a read
+    table with columns chosen and rows filtered: counting the partitions of such
+    a plan runs no job, whereas a join before it would be run for the count.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is taken from the session; one is made only where none is set."""
+    """The folder that all executors share, from the session's ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are this process, gets a folder of its own where none is set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-fathomline-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-fathomline-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
