@@ -7,17 +7,20 @@ so days can be computed, stored and combined in any order. With a rank error
 of each stretch of e * n ranks, weighted with the stretch, so that any rank
 read from combined partials is off by at most e * n.
 
-**Selection** (``select``): all groups and percentiles are searched at once. In
-each round every batch of candidates proposes its local weighted median, the
-weighted median of these becomes the pivot of its search, the candidates' counts
-below, at and above it are added up, and the ranges ruled out are discarded,
-until every percentile is found. Half of a search's proposals lie on either side, so
-at least a quarter of its candidates go each round. Searches left with few candidates are
-ended by one sort.
-
-The state is one row per group and percentile; it is broadcast only after it
-was counted, else joined. Candidates are written between rounds while they shrink, so rounds
-survive lost executors and don't repeat each other.
+**Selection** (``select``): a search holds the candidates of one range of one
+group and all ranks wanted in it, so at first there is one search per group. In
+each round every partition proposes the weighted median of its candidates, the
+weighted median of the proposals becomes the search's pivot, and its candidates are
+counted below, at and above it. A rank that falls on the pivot is found; the
+others go on in the search of their side, and a side without any is discarded.
+So the candidates of a group are never held more than once, and fall by about
+half in a round until its ranks lie in different ranges. A search that is left with
+at most ``LAST_VALUES`` candidates is closed by putting those in order: a last
+step of bounded size, so every group of more distinct values goes through rounds.
+
+The state is one row per search; it is broadcast only if the searches there can
+ever be fit ``BROADCAST_ROWS``, else joined under salts. What a round leaves is
+written, so rounds survive lost executors and don't repeat each other.
 
 Defined cases: rows with a null group, day or value, or a negative value (not
 measured), are left out of the partials; ties and repeated rows count each; a
@@ -34,11 +37,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import fold_key
+from fathomline.operators.ordered import running_sum
 from fathomline.session import BROADCAST_ROWS, cut
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
-#: Distinct values up to which a search is ended by sorting.
-SORTED_VALUES = 4096
+#: Candidates up to which a search is closed by putting them in order.
+LAST_VALUES = 32
+#: Proposals that a partition gathers before it reduces them to one per search.
+PROPOSALS_AT_ONCE = 1_000_000
+#: Width of the ranges in which the values of a day are sorted.
+RANGE = 1024
 #: Salts that spread the rows of one group where the state can't be broadcast.
 SALTS = 32
 
@@ -67,130 +75,178 @@ def day_partials(rows: DataFrame, group: str, value: str, day: str, rank_error:
     )
     if rank_error <= 0:
         return counted
-    keys = Window.partitionBy("day", "grp")
-    upto = F.sum("n").over(keys.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    width = F.greatest(F.floor(F.sum("n").over(keys) * F.lit(rank_error)), F.lit(1))
+    totals = counted.groupBy("day", "grp").agg(F.sum("n").alias("total"))
+    width = F.greatest(F.floor(F.col("total") * F.lit(rank_error)), F.lit(1))
     return (
-        counted.withColumn("stretch", F.floor((upto - 1) / width))
+        # values are sorted within ranges of RANGE only, however many a group has on a day
+        running_sum(counted, ["day", "grp"], "value", F.col("n"), RANGE, "upto")
+        .join(totals, ["day", "grp"])
+        .withColumn("stretch", F.floor((F.col("upto") - 1) / width))
         .groupBy("day", "grp", "stretch")
         .agg(F.max("value").alias("value"), F.sum("n").alias("n"))
         .select("day", "grp", "value", "n")
     )
 
 
-def combine(partials: DataFrame) -> DataFrame:
-    """``grp, value, n``: partial results of any days put together."""
-    return partials.groupBy("grp", "value").agg(F.sum("n").alias("n"))
+def combine(partials: DataFrame, *keys: str) -> DataFrame:
+    """``grp, value, n``, and further keys: partial results of any days put together."""
+    return partials.groupBy(*keys, "grp", "value").agg(F.sum("n").alias("n"))
 
 
-def _local_medians(candidates: DataFrame) -> DataFrame:
-    """For each search and batch of candidates: their weighted median and their weight."""
+def _weighted_medians(search: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each search its weighted median and its weight."""
+    order = np.lexsort((value, search))
+    search, value, n = search[order], value[order], n[order]
+    first = np.flatnonzero(np.append(True, search[1:] != search[:-1])[: len(search)])
+    upto = np.cumsum(n)
+    ends = np.append(first[1:], len(search)) - 1
+    before = np.append(0, upto)[first]
+    total = upto[ends] - before
+    return search[first], value[np.searchsorted(upto, before + (total + 1) // 2)], total
+
+
+def _proposals(candidates: DataFrame) -> DataFrame:
+    """``search, median, weight``: what each partition proposes for each of its searches."""
+    names = ["search", "median", "weight"]
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            search = batch.column("search").to_numpy()
-            value = batch.column("value").to_numpy()
-            n = batch.column("n").to_numpy()
-            order = np.lexsort((value, search))
-            search, value, n = search[order], value[order], n[order]
-            first = np.flatnonzero(np.append(True, search[1:] != search[:-1])) if len(search) else np.zeros(0, int)
-            upto = np.cumsum(n)
-            before = np.append(0, upto)[first]
-            total = np.append(upto, 0)[np.append(first[1:], len(search)) - 1] - before if len(first) else before
-            at = np.searchsorted(upto, before + (total + 1) // 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(search[first]), pa.array(value[at]), pa.array(total)], names=["search", "median", "weight"]
-            )
-
-    return candidates.select("search", "value", "n").mapInArrow(propose, "search long, median long, weight long")
-
-
-def _with_state(candidates: DataFrame, state: DataFrame, n_state: int) -> DataFrame:
-    """Candidates joined with one row per search; broadcast if that many rows may be."""
-    if n_state <= BROADCAST_ROWS:
+            if batch.num_rows:
+                parts.append(_weighted_medians(*(c.to_numpy() for c in batch.columns)))
+            if sum(len(x[0]) for x in parts) > PROPOSALS_AT_ONCE:
+                parts = [_weighted_medians(*map(np.concatenate, zip(*parts, strict=True)))]
+                if len(parts[0][0]) > PROPOSALS_AT_ONCE // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts.pop()], names=names)
+        if parts:
+            made = _weighted_medians(*map(np.concatenate, zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
+
+    kind = candidates.schema["value"].dataType.simpleString()
+    return candidates.select("search", "value", "n").mapInArrow(propose, f"search long, median {kind}, weight long")
+
+
+def _pivots(candidates: DataFrame) -> DataFrame:
+    """``search, pivot``: the weighted median of each search's proposals, of which each partition makes one."""
+    per_search = Window.partitionBy("search")
+    so_far = F.sum("weight").over(per_search.orderBy("median", "weight").rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        _proposals(candidates)
+        .withColumn("so_far", so_far)
+        .withColumn("all", F.sum("weight").over(per_search))
+        .where(F.col("so_far") * 2 >= F.col("all"))
+        .groupBy("search")
+        .agg(F.min("median").alias("pivot"))
+    )
+
+
+def _with_state(candidates: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """Candidates joined with one row per search; broadcast if the state is small, else under salts."""
+    if small:
         return candidates.join(F.broadcast(state), "search")
     salted = candidates.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
     every = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return salted.join(every, ["search", "salt"]).drop("salt")
 
 
-def daily_and_all(partials: DataFrame) -> DataFrame:
-    """``day, grp, value, n``: the partial result of each day, and all of them put together as the day 'all'."""
-    days = partials.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "grp", "value", "n")
-    return days.unionByName(combine(partials).withColumn("day", F.lit("all")))
+def _round(candidates: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """One round for all searches: ``search, pivot, root``, the percentiles ``hit`` by it, and what goes on ``below`` and ``above``.
+
+    ``below`` and ``above`` hold the number of the new search, its candidates and its ranks, or are null.
+    """
+    under, at = F.col("value") < F.col("pivot"), F.col("value") == F.col("pivot")
+    none = F.lit(0)
+    counts = (
+        _with_state(candidates, _pivots(candidates), small)
+        .groupBy("search")
+        .agg(
+            F.first("pivot").alias("pivot"),
+            F.coalesce(F.sum(F.when(under, F.col("n"))), none).alias("n_below"),
+            F.coalesce(F.sum(F.when(at, F.col("n"))), none).alias("n_at"),
+            F.count_if(under).alias("values_below"),
+            F.count_if(~under & ~at).alias("values_above"),
+        )
+    )
+    upto = F.col("n_below") + F.col("n_at")
+    low = F.filter("ranks", lambda r: r["rank"] <= F.col("n_below"))
+    high = F.transform(
+        F.filter("ranks", lambda r: r["rank"] > upto),
+        lambda r: F.struct(r["percentile"].alias("percentile"), (r["rank"] - upto).alias("rank")),
+    )
+    hit = F.filter("ranks", lambda r: (r["rank"] > F.col("n_below")) & (r["rank"] <= upto))
+
+    def side(ranks: Column, number: int, values: str) -> Column:
+        search = F.xxhash64("search", F.lit(number)).alias("search")
+        return F.when(F.size(ranks) > 0, F.struct(search, F.col(values).alias("left"), ranks.alias("ranks")))
+
+    return counts.join(state, "search").select(
+        "search",
+        "pivot",
+        "root",
+        F.transform(hit, lambda r: r["percentile"]).alias("hit"),
+        side(low, 0, "values_below").alias("below"),
+        side(high, 1, "values_above").alias("above"),
+    )
+
+
+def _moved(candidates: DataFrame, outcome: DataFrame, small: bool) -> DataFrame:
+    """The candidates that go on, in their new searches: ``search, value, n, left``."""
+    paths = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in ("below", "above") for name in ("search", "left")]
+    on = _with_state(candidates.select("search", "value", "n"), outcome.select("search", "pivot", *paths), small)
+    under, over = F.col("value") < F.col("pivot"), F.col("value") > F.col("pivot")
+    pick = lambda name: F.when(under, F.col(f"below_{name}")).when(over, F.col(f"above_{name}"))
+    moved = on.select(pick("search").alias("search"), "value", "n", pick("left").alias("left"))
+    return moved.where(F.col("search").isNotNull())
+
+
+def _closed(candidates: DataFrame, state: DataFrame) -> DataFrame:
+    """``root, percentile, value`` of the searches whose few candidates are put in order."""
+    upto = F.sum("n").over(Window.partitionBy("search").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = candidates.select("search", "value", "n").withColumn("upto", upto)
+    ranks = state.select("search", "root", F.explode("ranks").alias("r"))
+    return (
+        placed.join(ranks, "search")
+        .where((F.col("upto") >= F.col("r.rank")) & (F.col("upto") - F.col("n") < F.col("r.rank")))
+        .select("root", "r.percentile", "value")
+    )
 
 
 def select(
     counted: DataFrame,
     keys: tuple[str, ...] = ("grp",),
     percentiles: tuple[float, ...] = PERCENTILES,
-    sorted_values: int = SORTED_VALUES,
+    last_values: int = LAST_VALUES,
 ) -> DataFrame:
-    """Keys and ``percentile, value, n_values``: of each group the value at rank ceil(percentile * n), from keys and ``value, n``."""
-    base = cut(counted)
-    wanted = F.explode(F.array(*map(F.lit, percentiles)))
+    """Keys and ``percentile, value, n_values``: of each group the value at rank ceil(percentile * n), from keys and ``value, n``.
+
+    The keys of a group have to be null in no row; each value of a group comes in one row.
+    """
+    base = cut(counted.withColumn("search", F.xxhash64(*keys)))
+    # 1e-9 keeps products such as 0.95 * 20 from being lifted over a whole number
+    rank = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("total") - 1e-9), F.lit(1))
+    wanted = F.array(*[F.struct(F.lit(q).alias("percentile"), rank(q).alias("rank")) for q in percentiles])
     groups = cut(
-        base.groupBy(*keys)
-        .agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
-        .withColumn("percentile", wanted)
-        # 1e-9 keeps products such as 0.95 * 20 from being lifted over a whole number
-        .withColumn("rank", F.greatest(F.ceil(F.col("percentile") * F.col("total") - 1e-9), F.lit(1)))
-        .withColumn("search", F.xxhash64(*keys, "percentile"))
+        base.groupBy("search", *keys)
+        .agg(F.sum("n").alias("total"), F.count("*").alias("left"))
+        .select("search", *keys, "total", "left", wanted.alias("ranks"))
     )
+    # a group's ranks lie in at most as many searches as there are percentiles
+    small = groups.count() * len(percentiles) <= BROADCAST_ROWS
+    state = groups.select("search", F.col("search").alias("root"), "left", "ranks")
+    candidates = _with_state(base.select("search", "value", "n"), groups.select("search", "left"), small)
     found = []
-    state = groups.select("search", *keys, "rank", "distinct")
-    small_state = state.count() <= BROADCAST_ROWS
-    joined = base.join(F.broadcast(state) if small_state else state, list(keys))
-    candidates = joined.select("search", "value", "n", "rank", "distinct")
     while True:
-        small = candidates.where(F.col("distinct") <= sorted_values)
-        upto = F.sum("n").over(Window.partitionBy("search").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-        found.append(
-            small.withColumn("upto", upto)
-            .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-            .select("search", "value")
-        )
-        large = candidates.where(F.col("distinct") > sorted_values)
-        proposed = _local_medians(large)
-        per_search = Window.partitionBy("search")
-        so_far = F.sum("weight").over(per_search.orderBy("median", "weight").rowsBetween(Window.unboundedPreceding, 0))
-        pivots = (
-            proposed.withColumn("so_far", so_far)
-            .withColumn("all", F.sum("weight").over(per_search))
-            .where(F.col("so_far") * 2 >= F.col("all"))
-            .groupBy("search")
-            .agg(F.min("median").alias("pivot"))
-        )
-        pivots = cut(pivots)
-        n_pivots = pivots.count()
-        if not n_pivots:
+        few = F.col("left") <= last_values
+        found.append(_closed(candidates.where(few), state.where(few)))
+        if state.where(~few).isEmpty():
             break
-        against = _with_state(large, pivots, n_pivots)
-        below, at = F.col("value") < F.col("pivot"), F.col("value") == F.col("pivot")
-        counts = against.groupBy("search").agg(
-            F.first("rank").alias("old_rank"),
-            F.first("pivot").alias("pivot"),
-            F.coalesce(F.sum(F.when(below, F.col("n"))), F.lit(0)).alias("below"),
-            F.coalesce(F.sum(F.when(at, F.col("n"))), F.lit(0)).alias("at"),
-            F.count_if(below).alias("distinct_below"),
-            F.count_if(~below & ~at).alias("distinct_above"),
-        )
-        upper = F.col("old_rank") > F.col("below") + F.col("at")
-        lower = F.col("old_rank") <= F.col("below")
-        counts = cut(
-            counts.withColumn("side", F.when(lower, -1).when(upper, 1).otherwise(0))
-            .withColumn("new_rank", F.when(upper, F.col("old_rank") - F.col("below") - F.col("at")).otherwise(F.col("old_rank")))
-            .withColumn("left", F.when(lower, F.col("distinct_below")).otherwise(F.col("distinct_above")))
-            .select("search", "pivot", "side", "new_rank", "left")
-        )
-        found.append(counts.where("side = 0").select("search", F.col("pivot").alias("value")))
-        on = counts.where("side != 0")
-        candidates = cut(
-            _with_state(large.select("search", "value", "n"), on, n_pivots)
-            .where(F.when(F.col("side") < 0, F.col("value") < F.col("pivot")).otherwise(F.col("value") > F.col("pivot")))
-            .select("search", "value", "n", F.col("new_rank").alias("rank"), F.col("left").alias("distinct"))
-        )
+        outcome = cut(_round(candidates.where(~few), state.where(~few), small))
+        found.append(outcome.select("root", F.explode("hit").alias("percentile"), F.col("pivot").alias("value")))
+        candidates = cut(_moved(candidates.where(~few), outcome, small))
+        sides = F.explode(F.array_compact(F.array("below", "above"))).alias("s")
+        state = outcome.select("root", sides).select("s.search", "root", "s.left", "s.ranks")
     values = found[0]
     for more in found[1:]:
         values = values.unionByName(more)
-    return groups.join(values, "search").select(*keys, "percentile", "value", F.col("total").alias("n_values"))
+    named = groups.select(F.col("search").alias("root"), *keys, F.col("total").alias("n_values"))
+    return named.join(values, "root").select(*keys, "percentile", "value", "n_values")

@@ -46,10 +46,9 @@ def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.service_of(rows, read(spark, sf_dir, "service_alias"), F.col("name"))
 
 
-def _percentiles(spark: SparkSession, sf_dir: str, rank_error: float) -> DataFrame:
-    days = percentiles.day_partials(_latencies(spark, sf_dir), "service", "latency_ms", "day", rank_error)
-    return percentiles.select(percentiles.daily_and_all(days), ("day", "grp")).select(
-        "day",
+def _answer(rows: DataFrame, rank_error: float, *keys: str) -> DataFrame:
+    return rows.select(
+        *keys,
         F.col("grp").alias("service"),
         "percentile",
         F.col("value").alias("latency_ms"),
@@ -58,17 +57,26 @@ def _percentiles(spark: SparkSession, sf_dir: str, rank_error: float) -> DataFra
     )
 
 
+def _days(spark: SparkSession, sf_dir: str, rank_error: float = 0.0) -> DataFrame:
+    return percentiles.day_partials(_latencies(spark, sf_dir), "service", "latency_ms", "day", rank_error)
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _percentiles(spark, sf_dir, 0.0)
+    return _answer(percentiles.select(percentiles.combine(_days(spark, sf_dir))), 0.0)
 
 
 def p3_percentiles_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _percentiles(spark, sf_dir, RANK_ERROR)
+    return _answer(percentiles.select(percentiles.combine(_days(spark, sf_dir, RANK_ERROR))), RANK_ERROR)
+
+
+def p3_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of each single day."""
+    days = _days(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _answer(percentiles.select(days, ("day", "grp")), 0.0, "day")
 
 
 def p3_day_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = percentiles.day_partials(_latencies(spark, sf_dir), "service", "latency_ms", "day")
-    return days.select(
+    return _days(spark, sf_dir).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("grp").alias("service"), "value", F.col("n").cast("long")
     )
 
@@ -134,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p1_masked,
         p3_percentiles,
         p3_percentiles_bounded,
+        p3_daily_percentiles,
         p3_day_partials,
         p4_found,
         p4_conversations,
@@ -199,20 +208,25 @@ per_session AS (
 )"""
 _NO_BREAK = rf"[^{_SPACE}.,;:!?。，；：！？、]"
 
-ORACLE: dict[str, str] = {
-    "p3_percentiles": f"""
+
+
+def _ranked_sql(*keys: str) -> str:
+    by = ", ".join(keys)
+    return f"""
 WITH {_SERVICE},
-doubled AS (
-  SELECT strftime(day, '%Y-%m-%d') AS day, service, v FROM measured UNION ALL SELECT 'all', service, v FROM measured
-),
+named AS (SELECT strftime(day, '%Y-%m-%d') AS day, service, v FROM measured),
 ranked AS (
-  SELECT day, service, v, row_number() OVER (PARTITION BY day, service ORDER BY v) AS r, count(*) OVER (PARTITION BY day, service) AS n
-  FROM doubled
+  SELECT {by}, v, row_number() OVER (PARTITION BY {by} ORDER BY v) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM named
 )
-SELECT day, service, p AS percentile, v AS latency_ms, n AS n_values, CAST(0 AS DOUBLE) AS rank_error
+SELECT {by}, p AS percentile, v AS latency_ms, n AS n_values, CAST(0 AS DOUBLE) AS rank_error
 FROM ranked, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.95 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) AS t(p)
 WHERE r = greatest(1, CAST(ceil(p * n - 1e-9) AS BIGINT))
-""",
+"""
+
+
+ORACLE: dict[str, str] = {
+    "p3_percentiles": _ranked_sql("service"),
+    "p3_daily_percentiles": _ranked_sql("day", "service"),
     "p3_day_partials": f"""
 WITH {_SERVICE}
 SELECT strftime(day, '%Y-%m-%d') AS day, service, v AS value, count(*) AS n FROM measured GROUP BY 1, 2, 3

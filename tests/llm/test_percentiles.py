@@ -28,11 +28,11 @@ def brute(rows):
     return {g: sorted(x) for g, x in by.items()}
 
 
-@pytest.mark.parametrize("limit", [0, 5, 200, 4096])
+@pytest.mark.parametrize("limit", [0, 5, 32, 200])
 def test_selection_is_exact_in_any_number_of_rounds(spark, limit):
     rows = rows_of(limit)
     days = p.day_partials(spark.createDataFrame(rows, SCHEMA), "g", "v", "day")
-    got = {(r["grp"], r["percentile"]): (r["value"], r["n_values"]) for r in p.select(p.combine(days), sorted_values=limit).collect()}
+    got = {(r["grp"], r["percentile"]): (r["value"], r["n_values"]) for r in p.select(p.combine(days), last_values=limit).collect()}
     values = brute(rows)
     want = {(g, q): (x[max(1, math.ceil(q * len(x) - 1e-9)) - 1], len(x)) for g, x in values.items() for q in p.PERCENTILES}
     assert got == want
@@ -41,9 +41,46 @@ def test_selection_is_exact_in_any_number_of_rounds(spark, limit):
 def test_state_that_may_not_be_broadcast_is_joined(spark, monkeypatch):
     rows = rows_of(9)
     counted = p.combine(p.day_partials(spark.createDataFrame(rows, SCHEMA), "g", "v", "day"))
-    want = {tuple(r) for r in p.select(counted, sorted_values=20).collect()}
+    want = {tuple(r) for r in p.select(counted, last_values=20).collect()}
     monkeypatch.setattr(p, "BROADCAST_ROWS", 0)
-    assert {tuple(r) for r in p.select(counted, sorted_values=20).collect()} == want
+    assert {tuple(r) for r in p.select(counted, last_values=20).collect()} == want
+
+
+def test_registered_query_goes_through_rounds(spark, monkeypatch):
+    from fathomline.llm.queries import p3_percentiles
+
+    rounds = []
+    one = p._round
+    monkeypatch.setattr(p, "_round", lambda *args: rounds.append(1) or one(*args))
+    p3_percentiles(spark, "/root/testdata/sf0.01").count()
+    assert len(rounds) >= 4
+
+
+def test_no_candidate_is_held_twice(spark, monkeypatch):
+    rows = [(dt.date(2026, 1, 1), "g", v, 0, "") for v in range(1000)]
+    sizes = []
+    moved = p._moved
+
+    def counted(*args):
+        out = moved(*args)
+        sizes.append(out.count())
+        assert out.count() == out.select("value").distinct().count()
+        return out
+
+    monkeypatch.setattr(p, "_moved", counted)
+    days = p.day_partials(spark.createDataFrame(rows, SCHEMA), "g", "v", "day")
+    got = {r["percentile"]: r["value"] for r in p.select(p.combine(days), last_values=4).collect()}
+    assert got == {0.5: 499, 0.9: 899, 0.95: 949, 0.99: 989}
+    assert sizes == sorted(sizes, reverse=True) and sizes[2] < 500
+
+
+def test_many_proposals_are_reduced_within_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(p, "PROPOSALS_AT_ONCE", 3)
+    rows = rows_of(3)
+    days = p.day_partials(spark.createDataFrame(rows, SCHEMA), "g", "v", "day")
+    got = {(r["grp"], r["percentile"]): r["value"] for r in p.select(p.combine(days), last_values=1).collect()}
+    values = brute(rows)
+    assert got == {(g, q): x[max(1, math.ceil(q * len(x) - 1e-9)) - 1] for g, x in values.items() for q in p.PERCENTILES}
 
 
 @pytest.mark.parametrize("error", [0.02, 0.1])
