@@ -42,7 +42,7 @@ from fathomline.session import BROADCAST_ROWS, cut
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 #: Candidates up to which a search is closed by putting them in order.
-LAST_VALUES = 32
+LAST_VALUES = 128
 #: Proposals that a partition gathers before it reduces them to one per search.
 PROPOSALS_AT_ONCE = 1_000_000
 #: Width of the ranges in which the values of a day are sorted.
