@@ -7,7 +7,9 @@ stronger of two that overlap. Names are proposed by the words around a person
 (greetings, titles, roles, fields of records) and have to look like a name.
 
 Texts are scanned in the tasks that read them; only spans leave a scan for
-``found``, only the masked text for ``masked``, and nothing is shuffled.
+``found``, only the masked text for ``masked``, and nothing is shuffled. One
+pass of an automaton finds which patterns can match a text at all: each pattern
+is tried if what every match of it has to hold is there, so none is missed.
 Full-width letters, digits and signs are read as their plain forms, one for
 one, so that positions stay those of the text.
 
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import datetime
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -47,7 +50,7 @@ def _digits(s: str) -> list[int]:
 
 
 def luhn(s: str) -> bool:
-    """The Luhn check of payment and device numbers."""
+    """The Luhn check of payment cards and social insurance numbers."""
     d = _digits(s)[::-1]
     return len(d) > 1 and sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
 
@@ -76,6 +79,12 @@ def mod_11_10(s: str) -> bool:
     return len(d) == 11 and (11 - product) % 10 == d[-1]
 
 
+def iban(s: str) -> bool:
+    """ISO 7064 mod 97-10 with the first four characters moved behind: account numbers of many countries."""
+    s = re.sub(r"[ -]", "", s).upper()
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def mod_97(s: str) -> bool:
     """The 15-digit social security number whose last two digits complete 97."""
     s = re.sub(r"[ .-]", "", s).upper().replace("2A", "19").replace("2B", "18")
@@ -96,14 +105,15 @@ _LOCAL = r"[A-Za-z0-9À-ÖØ-öø-ÿ_](?:[A-Za-z0-9À-ÖØ-öø-ÿ_.+-]*[A-Za-z0
 _DOT = r"(?:\.| ?[\[(] ?dot ?[\])] ?| dot )"
 _HOST = rf"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*{_DOT}[A-Za-z]{{2,}}"
 EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9_.+%-]){_LOCAL}(?: ?@ ?|%40| ?[\[(] ?at ?[\])] ?| at (?=[A-Za-z0-9.-]+ dot )){_HOST}", re.I
+    rf"(?<![A-Za-z0-9_.+%À-ÖØ-öø-ÿ-]){_LOCAL}(?: ?@ ?|%40| ?[\[(] ?at ?[\])] ?| at (?=[A-Za-z0-9.-]+ dot )){_HOST}", re.I
 )
 
 _NUMBER_WORD = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 PHONE = re.compile(
     rf"{_LEFT}(?:"
     r"\(\+[0-9]{1,3}\)[ -]?[0-9][0-9 -]{6,13}[0-9]"
-    r"|\+[0-9]{1,3}[ -]?(?:\(0\)[ -]?)?[0-9](?:[ -]?[0-9]){6,12}"
+    r"|\+[0-9]{1,3}[ -]?\([0-9]{1,5}\)[ -]?[0-9](?:[ -]?[0-9]){4,12}"
+    r"|\+[0-9]{1,3}[ -]?[0-9](?:[ -]?[0-9]){6,12}"
     r"|00[1-9][0-9][ -]1[3-9][0-9](?:[ -]?[0-9]){8}"
     r"|1[3-9][0-9]([ -]?)[0-9]{4}\1[0-9]{4}"
     r"|(?:1[-. ])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}([-. ]))[0-9]{3}(?(2)\2|[-. ])[0-9]{4}"
@@ -130,6 +140,10 @@ _IDS = (
     (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.45, None, 0.0),
     (r"(?<![0-9] )[0-9]{3}([ -])[0-9]{3}\1[0-9]{3}(?! [0-9])", 0.0, luhn, 0.2),
     (r"[0-9]{3}([ ]?)[0-9]{2}\1[0-9]{4}", 0.15, None, 0.0),
+    # accounts and cards: the check decides for grouped ones, words close by for the others
+    (r"[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){1,2}(?:[ ]?[0-9]{4}){2,4}(?:[ ]?[0-9A-Z]{1,4})?", 0.0, iban, 0.6),
+    (r"[3-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5}", 0.0, luhn, 0.55),
+    (r"[3-6][0-9]{12,18}", -0.3, luhn, 0.3),
 )
 IDS = tuple((re.compile(rf"{_LEFT}{p}{_RIGHT}", re.I), *rest) for p, *rest in _IDS)
 
@@ -152,23 +166,15 @@ _ADDRESSES = (
         0.45,
     ),
     (
-        rf"[0-9]+(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|allée|quai|route|cours|passage|square|sentier) (?:{_W} ?){{1,5}}"
+        rf"[0-9]+(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|allée|quai|route|cours|passage|square|sentier) {_W}(?: {_W}){{0,4}}"
         rf"(?:, (?:bât|bâtiment|apt|appt|étage)\.? ?\w+)?(?:, [0-9]{{5}} {_W})?",
         0.5,
     ),
     (
-        rf"(?:calle|c/|avda\.?|av\.|avenida|plaza|pza\.?|paseo|camino|ronda|travesía|carrera|glorieta) (?:{_W} ?){{1,5}}(?:, ?| )(?:n\.?º ?)?[0-9]+(?:, ?[0-9]+ ?º(?: ?[A-Z]\b)?)?(?:, [0-9]{{5}} {_W})?",
+        rf"(?:calle|c/|avda\.?|av\.|avenida|plaza|pza\.?|paseo|camino|ronda|travesía|carrera|glorieta) {_W}(?: {_W}){{0,4}}(?: ?, ?| )(?:n\.?º ?)?[0-9]+(?:, ?[0-9]+ ?º(?: ?[A-Z]\b)?)?(?:, [0-9]{{5}} {_W})?",
         0.5,
     ),
 )
-#: Any of these has to be in a text, in lower case, for the pattern at the same place to be tried.
-_ADDRESS_GATES = (
-    ("box ", "postfach", "apartado", "bp "),
-    tuple(f" {w}" for w in _STREET.split("|") if len(w) > 2) + (" rd", " st.", " st,"),
-    ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ufer ", "ring ", "damm ", "steig ", "pfad "),
-    ("rue ", "avenue ", "av. ", "impasse ", "boulevard ", "bd ", "place ", "chemin ", "allée ", "quai ", "route ", "cours ", "passage ", "sentier "),
-    ("calle ", "c/ ", "avda", "av. ", "avenida ", "plaza ", "pza", "paseo ", "camino ", "ronda ", "travesía ", "carrera ", "glorieta "),
-)
 ADDRESSES = tuple((re.compile(rf"(?<![\w=.-])(?:{p})", re.I), s) for p, s in _ADDRESSES)
 _HAN_HOUSE = re.compile(r"[0-9](?:号|组|弄)")
 _AREA = rf"(?:[{_HAN}]{{2,4}}?(?:省|自治区))?(?:[{_HAN}]{{2,4}}?[市县州])?(?:[{_HAN}]{{2,4}}?[区镇乡县])?"
@@ -191,27 +197,34 @@ _TAIL = rf"(?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}{_PART}"
 _LATIN = rf"(?:{_TAIL}, (?:{_PART}|{_INITIAL})|(?:{_PART}|{_INITIAL}) (?:{_INITIAL} )?{_TAIL})"
 _HAN_NAME = rf"[{_HAN}]{{2,4}}?"
 _NAME = rf"(?P<name>{_LATIN}|{_HAN_NAME})"
+#: The most frequent family names of one character (fixed values).
+_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤"
 _TITLES = r"(?:dr|prof|mr|mrs|ms|mme|mlle|m|ing|sr|sra|herr|frau|monsieur|madame|señora?|don|doña)"
 _END = r"(?=[.!]?(?:\s|$)|[。，！\n])"
+_GATED_TITLES = tuple(
+    f"{t}{dot} "
+    for t in ("dr", "prof", "mr", "mrs", "ms", "mme", "mlle", "sr", "sra", "herr", "frau", "monsieur", "madame", "señor", "señora", "doña")
+    for dot in ("", ".")
+)
 #: Literals to look for first, the words before a name, what follows it, and the score they give.
-_CUES = (
+CUE_RULES = (
     (("this is ",), r"\bthis is (?:TITLE\b\.? )?", r"(?= (?:from|of|at|in|on|here|speaking|with)\b|[.,!])", 0.5),
     (("ask ",), r"\bask (?:TITLE\b\.? )?", r"(?= (?:for|about|to|if|whether|when|where)\b|[.,])", 0.5),
     ((", or ",), r"\bask [^.\n]{0,8}[^\n]{3,90}?, or (?:TITLE\b\.? )?", r"(?=[.,;!?\n]|$)", 0.5),
     (
-        ("dr. ", "dr ", "prof. ", "prof ", "mr. ", "mr ", "mrs", "ms. ", "mme ", "mlle ", "herr ", "frau ", "monsieur ", "madame ", "señor", "sra. ", "doña "),
+        _GATED_TITLES,
         r"(?<![\w.-])(?:dr|prof|mr|mrs|ms|mme|mlle|sra?|herr|frau|monsieur|madame|señora?|doña)\b\.? ",
         r"(?=\W|$)",
         0.4,
     ),
     (
-        ("thx", "thanks,", "regards", "cheers", "sincerely"),
+        ("thx", "thanks", "regards", "cheers", "sincerely"),
         r"\b(?:thx|thanks|regards|cheers|sincerely)[,!]?\s{1,2}",
         r"(?=[.!]?(?:\s|$)|[。，！\n])",
         0.35,
     ),
     (
-        ("gruß", "gruss", "grüße", "mfg", "merci,", "cordialement", "saludo", "abraço", "groet"),
+        ("gruß", "gruss", "grüße", "mfg", "merci", "cordialement", "saludo", "abraço", "groet"),
         r"\b(?:gruß|gruss|grüße|mfg|merci|cordialement|saludos?|abraços?|groet|groeten)[,!]\s{1,2}",
         r"(?=[.!]?(?:\s|$)|[。，！\n])",
         0.45,
@@ -222,10 +235,10 @@ _CUES = (
         r"(?= ?\(| ?<[^A-Z]| (?:reported|reports|said|says|called|wrote|asked|opened|cannot|can't|could|has|had|is|was)\b)",
         0.5,
     ),
-    ((" to:", "attn"), r"\b(?:to|attn): ?(?:TITLE\b\.? )?", r"(?=, )", 0.5),
-    (("geht an ", "sendet an "), r"\b(?:geht|sendet|liefert) an (?:TITLE\b\.? )?", r"(?=, |\.)", 0.5),
+    (("to:", "attn:"), r"\b(?:to|attn): ?(?:TITLE\b\.? )?", r"(?=, )", 0.5),
+    (("geht an ", "sendet an ", "liefert an "), r"\b(?:geht|sendet|liefert) an (?:TITLE\b\.? )?", r"(?=, |\.)", 0.5),
     (
-        ("name", "contact", "person", "owner", "recipient", "assignee"),
+        ('name"', 'contact"', 'person"', 'owner"', 'recipient"', 'assignee"'),
         r"\"(?:contact|name|full_?name|person|owner|user_?name|recipient|assignee)\" ?: ?\"",
         r"(?=\")",
         0.5,
@@ -237,10 +250,28 @@ _CUES = (
         r"(?=[，。、；！【（(\"\s]|确认|处理|核实|跟进|$)",
         0.6,
     ),
+    (
+        ("meet ", "met ", "met with ", "contact ", "call ", "email ", "ping ", "invite ", "thank "),
+        r"\b(?:meet|met|met with|contact|call|email|ping|invite|thank) (?:TITLE\b\.? )?",
+        r"(?= (?:at|on|by|in|from|about|for|after|before|tomorrow|today)\b|[.,;!?\n]|$)",
+        0.2,
+    ),
+    (
+        (" called", " reported", " says", " said", " asked", " wrote", " mentioned", " noticed", " complained", " phoned", " emailed"),
+        r"(?:^|[.!?]\s|\n)",
+        r"(?= (?:called|reported|says|said|asked|wrote|mentioned|noticed|complained|phoned|emailed)\b)",
+        0.2,
+    ),
+    (
+        ("反馈", "反映", "投诉", "表示", "来电", "提到"),
+        rf"(?<![{_HAN}])(?=[{_FAMILY}])",
+        r"(?=反馈|反映|投诉|表示|来电|提到)",
+        0.4,
+    ),
     (("用户", "客户", "同事"), r"(?:用户|客户|同事)", r"(?=反馈|反映|报告|投诉|表示|来电|提到|多次|遇到|无法|说|登录)", 0.6),
 )
 CUES = tuple(
-    (re.compile(cue.replace("TITLE", _TITLES) + _NAME + after, re.I | re.M), score) for _, cue, after, score in _CUES
+    (re.compile(cue.replace("TITLE", _TITLES) + _NAME + after, re.I | re.M), score) for _, cue, after, score in CUE_RULES
 )
 #: Lists of people after a role.
 NAME_LIST = re.compile(r"(?:审批人|参与人|抄送人|值班人|参会人)[：: ]{0,2}(?P<list>[^，。；！\n]{2,120})")
@@ -257,7 +288,9 @@ _TITLE_WORD = re.compile(rf"{_TITLES}\.?$", re.I)
 _NO_NAME = frozenset(
     "the this that these those our your my his her its their a an and or but please which what when why how is are was were "
     "it we you they i he she everyone nobody somebody someone all any each no not ref see team support on for to in "
-    "der die das ein eine und bitte wir sie le la les un une et nous vous el los las una y por de team ops oncall at of as by with lives from".split()
+    "der die das ein eine und bitte wir sie le la les un une et nous vous el los las una y por de team ops oncall at of as by with lives from "
+    "service gateway server cluster node job system database cache queue broker proxy api worker client monitor scheduler controller "
+    "manager exporter pipeline stream region zone shard replica backup storage network router alert dashboard build release deploy".split()
 )
 _NO_HAN_NAME = re.compile(r"团队|运维|管理|部门|值班|同事|经理|客服|小组|支持|平台|系统|服务|工程|研发|负责|大家|我们|他们|专家|对应|相关|一下|业务|无法")
 
@@ -286,7 +319,7 @@ _SAYS_PHONE = re.compile(
 )
 _SAYS_ID = re.compile(
     r"\bssn\b|social security|social insurance|insurance|identity|\bid number|\bid card|idcard|passport|passeport|pasaporte|reisepass|ausweis|\bnino\b|steuer|\bsécu|"
-    r"\bnir\b|\bdni\b|\bnie\b|tax id|national|身份证|证件|护照|身份", re.I
+    r"\bnir\b|\bdni\b|\bnie\b|tax id|national|\biban\b|(?:credit|debit|bank) card|card (?:no|number)|身份证|证件|护照|身份|卡号|银行卡|账号", re.I
 )
 _SAYS_OTHER = re.compile(
     r"(?:(?<![a-z])(?:offset|seq|epoch|batch|build|sha|trace|span|ticket|job|shard|lane|partition|commit|uid|pid|port|attempt|generation|lag|ttl|size|limit|slot|"
@@ -299,35 +332,80 @@ _KIND_ORDER = {k: i for i, k in enumerate(KINDS)}
 # --- gates -------------------------------------------------------------------
 
 #: Bits of the patterns that a text's words make worth trying.
-_BY_EMAIL, _BY_DOT, _BY_WORDS, _BY_HAN, _BY_LIST, _BY_BEHIND = (1 << i for i in range(6))
+_BY_EMAIL, _BY_WORDS, _BY_HAN, _BY_LIST, _BY_BEHIND = (1 << i for i in range(5))
 _BY_ADDRESS = 1 << 8
 _BY_CUE = 1 << 16
+ALL_GATES = (1 << 40) - 1
+
+#: Letters that match plain ones where case doesn't count but don't turn into them, or into one letter, in lower case (fixed values).
+_ODD_CASE = {0x130: "i", 0x131: "i", 0x17F: "s"}
+
+
+def _starts_free(low: str, start: int, end: int) -> bool:
+    return not start or not (low[start - 1].isalnum() or low[start - 1] in "_.-")
+
+
+def _ends_free(low: str, start: int, end: int) -> bool:
+    return end == len(low) or not (low[end].isalnum() or low[end] == "_")
+
+
+def _digit_follows(low: str, start: int, end: int) -> bool:
+    return end < len(low) and low[end].isdigit()
 
 
 def _gate_words() -> ahocorasick.Automaton:
-    """All words that open a gate, in one automaton, so that a text is searched for them once."""
-    gates: dict[str, int] = {}
+    """All words of which a match of some pattern has to hold one, so that a text is searched for them once.
+
+    A word's entry is its length, the bits that it sets, and bits with what
+    has to stand around the word for them.
+    """
+    numbers, digits = _NUMBER_WORD.split("|"), "零〇一二三四五六七八九幺"
+    streets = [f" {w}" for w in _STREET.split("|")]
+    ends = "straße strasse str. weg gasse allee platz ufer ring damm steig pfad".split()
+    ways = "rue avenue av. impasse boulevard bd place chemin allée quai route cours passage square sentier".split()
+    calles = "calle c/ avda avda. av. avenida plaza pza pza. paseo camino ronda travesía carrera glorieta".split()
     groups = [
-        (_BY_EMAIL, ("@", "%40", "[at", "(at", "[ at", "( at")),
-        (_BY_DOT, (" dot ",)),
-        (_BY_WORDS, _WORD_GATE),
-        (_BY_HAN, ("号", "组", "弄")),
-        (_BY_LIST, ("批人", "与人", "送人", "班人", "会人")),
-        (_BY_BEHIND, ("signed off", "approved", "acknowledged", "confirmed", "freigabe", "validé", "aprobó")),
-        (_BY_BEHIND, ("老师", "先生", "女士", "同学", "经理", "工程师", "师傅", "主任")),
-        *((_BY_ADDRESS << i, words) for i, words in enumerate(_ADDRESS_GATES)),
-        *((_BY_CUE << i, words) for i, (words, *_) in enumerate(_CUES)),
+        (_BY_EMAIL, ("@", "%40", "[at", "(at", "[ at", "( at", " dot "), None),
+        (_BY_WORDS, [f"{a}{sign}{b}" for a in numbers for sign in " -" for b in numbers], None),
+        (_BY_WORDS, [a + b for a in digits for b in digits], None),
+        (_BY_HAN, ("号", "组", "弄"), None),
+        (_BY_LIST, ("批人", "与人", "送人", "班人", "会人"), None),
+        (_BY_BEHIND, (" signed off on", " approved the", " acknowledged the", " confirmed the", "freigabe", " a validé", " aprobó"), None),
+        (_BY_BEHIND, ("老师", "先生", "女士", "同学", "经理", "工程师", "师傅", "主任"), None),
+        (_BY_ADDRESS, ("box ", "postfach ", "apartado ", "bp "), _digit_follows),
+        (_BY_ADDRESS << 1, streets, _ends_free),
+        (_BY_ADDRESS << 2, [f"{w} " for w in ends], _digit_follows),
+        (_BY_ADDRESS << 3, [f" {w} " for w in ways], None),
+        (_BY_ADDRESS << 4, [f"{w} " for w in calles], None),
+        *((_BY_CUE << i, words, _starts_free if words is _GATED_TITLES else None) for i, (words, *_) in enumerate(CUE_RULES)),
     ]
-    for bit, words in groups:
+    gates: dict[str, tuple[int, int, list]] = {}
+    for bit, words, condition in groups:
         for word in words:
-            gates[word] = gates.get(word, 0) | bit
+            size, bits, conditional = gates.get(word, (len(word), 0, []))
+            gates[word] = (size, bits, [*conditional, (bit, condition)]) if condition else (size, bits | bit, conditional)
     automaton = ahocorasick.Automaton()
-    for word, bits in gates.items():
-        automaton.add_word(word, bits)
+    for word, entry in gates.items():
+        automaton.add_word(word, entry)
     automaton.make_automaton()
     return automaton
 
 
+def open_gates(plain: str) -> int:
+    """The bits of all patterns that can match a text."""
+    low = plain
+    if not plain.isascii():
+        low = plain.translate(_ODD_CASE) if any(c in plain for c in "İıſ") else plain
+    low = low.lower()
+    gates = 0
+    for last, (size, bits, conditional) in GATES.iter(low):
+        gates |= bits
+        for bit, condition in conditional:
+            if not gates & bit and condition(low, last + 1 - size, last + 1):
+                gates |= bit
+    return gates
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 26) : start], text[end : end + 12]
 
@@ -335,11 +413,10 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
 #: Six digits that don't begin a time.
 _SOME_DIGITS = re.compile(r"(?<![0-9])(?<![0-9]-)(?![0-9]{4}-[0-9]{2}-[0-9]{2}T)[0-9](?:[ ./()-]{0,2}[0-9]){5}")
 _SOME_WORDS = re.compile(rf"(?:{_NUMBER_WORD})[ -](?:{_NUMBER_WORD})[ -]|[零〇一二三四五六七八九幺]{{7}}", re.I)
-_WORD_GATE = (*(f"{w}{sign}" for w in _NUMBER_WORD.split("|") if w not in ("oh", "one") for sign in " -"), *"零〇幺")
 
 
 def _numbers(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
-    digits = _SOME_DIGITS.search(text)
+    digits = gates == ALL_GATES or _SOME_DIGITS.search(text)
     if not digits and not (gates & _BY_WORDS and _SOME_WORDS.search(text)):
         return
     for m in PHONE.finditer(text):
@@ -380,7 +457,7 @@ def _addresses(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
             if m.group().islower():
                 score -= 0.3
             yield "address", *m.span(), score
-    if gates & _BY_HAN and _HAN_HOUSE.search(text):
+    if gates & _BY_HAN and (gates == ALL_GATES or _HAN_HOUSE.search(text)):
         for m in ADDRESS_HAN.finditer(text):
             yield "address", *m.span("span"), 0.9
 
@@ -425,32 +502,35 @@ def _names(text: str, gates: int) -> Iterator[tuple[str, int, int, float]]:
 GATES = _gate_words()
 
 
-def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
-    """The personal information in a text: (start, end, kind, score) in order, without overlaps."""
+def _without_overlaps(found: Iterable[tuple[str, int, int, float]]) -> list[tuple[int, int, str, float]]:
+    """The strongest of spans that overlap, in order; kept spans are found by binary search."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, str, float]] = []
+    for kind, start, end, score in sorted(found, key=lambda x: (_KIND_ORDER[x[0]] > 0, -x[3], x[1] - x[2], _KIND_ORDER[x[0]], x[1])):
+        at = bisect_left(starts, start)
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(starts) or starts[at] >= end):
+            starts.insert(at, start)
+            kept.insert(at, (start, end, kind, round(score, 3)))
+    return kept
+
+
+def find_spans(text: str | None, gated: bool = True) -> list[tuple[int, int, str, float]]:
+    """The personal information in a text: (start, end, kind, score) in order, without overlaps.
+
+    Without ``gated`` every pattern is tried, which finds the same.
+    """
     if not text:
         return []
     plain = text.translate(_WIDE) if not text.isascii() else text
-    low = plain.lower()
-    if len(low) != len(plain):
-        low = plain
-    gates = 0
-    for _, bits in GATES.iter(low):
-        gates |= bits
+    gates = open_gates(plain) if gated else ALL_GATES
     found: list[tuple[str, int, int, float]] = []
-    if gates & (_BY_EMAIL | _BY_DOT):
+    if gates & _BY_EMAIL:
         found += (("email", *m.span(), 0.95) for m in EMAIL.finditer(plain))
     found += _numbers(plain, gates)
     if gates:
         found += _addresses(plain, gates)
         found += _names(plain, gates)
-    if not found:
-        return []
-    kept: list[tuple[int, int, str, float]] = []
-    strong = (x for x in found if x[3] >= THRESHOLD - 1e-9)
-    for kind, start, end, score in sorted(strong, key=lambda x: (_KIND_ORDER[x[0]] > 0, -x[3], -(x[2] - x[1]), _KIND_ORDER[x[0]])):
-        if all(end <= a or start >= b for a, b, *_ in kept):
-            kept.append((start, end, kind, round(score, 3)))
-    return sorted(kept)
+    return _without_overlaps(x for x in found if x[3] >= THRESHOLD - 1e-9) if found else []
 
 
 def mask_text(text: str | None) -> str | None:

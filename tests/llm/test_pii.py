@@ -1,4 +1,8 @@
+import time
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from fathomline.llm import pii
 
@@ -42,6 +46,19 @@ FOUND = {
     "rejected bytes imke brackenwold signed off on it": [("name", "imke brackenwold")],
     "审批人：桑清越、Íñigo Drossard。": [("name", "桑清越"), ("name", "Íñigo Drossard")],
     "用户闵朗反馈无法登录": [("name", "闵朗")],
+    "手机 一三八五五五五六六六六 请回电": [("phone", "一三八五五五五六六六六")],
+    "phone one one one oh one one one oh one": [("phone", "one one one oh one one one oh one")],
+    "Deliver to 12 Main St in Boston": [("address", "12 Main St")],
+    "ship to 45 Oak St": [("address", "45 Oak St")],
+    "To: John Smith, room 4": [("name", "John Smith")],
+    "call +1 (415) 555-2671 now": [("phone", "+1 (415) 555-2671")],
+    "Ruf +49 (30) 1234567 an": [("phone", "+49 (30) 1234567")],
+    "IBAN DE89 3704 0044 0532 0130 00": [("id_number", "DE89 3704 0044 0532 0130 00")],
+    "paid by 4111 1111 1111 1111": [("id_number", "4111 1111 1111 1111")],
+    "card number 4111111111111111": [("id_number", "4111111111111111")],
+    "John Smith called about the outage": [("name", "John Smith")],
+    "Meet Maria Garcia at 10am": [("name", "Maria Garcia")],
+    "张伟反馈登录失败": [("name", "张伟")],
     "| Hedda Merrowdale | 6285550112 | on call |": [("name", "Hedda Merrowdale"), ("phone", "6285550112")],
 }
 NOT_FOUND = [
@@ -49,6 +66,7 @@ NOT_FOUND = [
     "参考offset 15996237888。", "ref seq=13876476768809.", "ref epoch 1773168475606.", "ref batch 997768752949013945.", "ref build 2026-03-10.415.",
     "ref trace 2b1feb2e882a326c170011a911f30f72.", "ref ticket OPS-808065.", "ref 10.168.3.83:9092.", "ref job grace-period-46.",
     "2026-04-05T23:05:14.340Z INFO hull-billing broker 170 not reachable, attempt 8022", "现在可以重启gull-search吗？", "thx, please check it",
+    "Payment Gateway reported errors", "sum 4111 1111 1111 1112", "seq 4111111111111111", "ref DE88 3704 0044 0532 0130 00",
     "", None, "   ", "12", "请找值班经理确认回滚。",
 ]
 
@@ -70,7 +88,61 @@ def test_masking_twice_changes_nothing(text):
     assert once is None or not {t for _, t in kinds(once)}
 
 
+PATTERNS = {
+    "email": (pii.EMAIL, pii._BY_EMAIL),
+    "han address": (pii.ADDRESS_HAN, pii._BY_HAN),
+    "list": (pii.NAME_LIST, pii._BY_LIST),
+    "behind": (pii.BEHIND, pii._BY_BEHIND),
+    **{f"address {i}": (p, pii._BY_ADDRESS << i) for i, (p, _) in enumerate(pii.ADDRESSES)},
+    **{f"cue {i}": (p, pii._BY_CUE << i) for i, (p, _) in enumerate(pii.CUES)},
+}
+
+
+@pytest.mark.parametrize("name", list(PATTERNS))
+def test_every_match_of_a_pattern_opens_its_gate(name):
+    pattern, bit = PATTERNS[name]
+
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+    @given(st.from_regex(pattern))
+    def check(text):
+        plain = text.translate(pii._WIDE)
+        if pattern.search(plain):
+            assert pii.open_gates(plain) & bit
+
+    check()
+
+
+@pytest.mark.parametrize("pattern", [pii.PHONE, *(p for p, *_ in pii.IDS)])
+def test_every_number_passes_the_first_look(pattern):
+    @settings(max_examples=100, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+    @given(st.from_regex(pattern))
+    def check(text):
+        plain = text.translate(pii._WIDE)
+        if pattern.search(plain):
+            assert pii._SOME_DIGITS.search(plain) or (pii.open_gates(plain) & pii._BY_WORDS and pii._SOME_WORDS.search(plain))
+            assert pii.find_spans(text) == pii.find_spans(text, gated=False)
+
+    check()
+
+
+def test_gates_change_nothing_on_the_given_texts(spark):
+    for table, column in (("episodic_turns", "content"), ("profile_fault_patterns", "summary")):
+        rows = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select(column).where(f"{column} is not null").distinct()
+        for (text,) in rows.collect():
+            assert pii.find_spans(text) == pii.find_spans(text, gated=False)
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"a{i}@b{i}.com" for i in range(32_000))
+    began = time.time()
+    spans = pii.find_spans(text)
+    assert len(spans) == 32_000 and spans == sorted(spans)
+    assert time.time() - began < 10
+    assert len(pii.find_spans("c/ " + "ab " * 3000 + "calle " + "a" * 5000)) == 0
+
+
 def test_checksums():
+    assert pii.iban("GB82 WEST 1234 5698 7654 32") and not pii.iban("GB82 WEST 1234 5698 7654 33")
     assert pii.luhn("79927398713") and not pii.luhn("79927398710")
     assert pii.mod_97("2 55 08 14 168 025 38") and not pii.mod_97("2 55 08 14 168 025 39")
     assert pii.mod_11_2("99010219650602067X") and not pii.mod_11_2("990102196506020670")
