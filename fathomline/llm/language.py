@@ -7,9 +7,12 @@ within words, so a sentence's score is the mean of its words' scores, and the
 tasks that read the texts keep the scores of the words they met.
 
 ``train`` fits the machines on the driver from a bounded sample: the clean
-reference sentences and at most ``SAMPLE_DOCS`` labelled documents of each
-language, of which only those sentences are used that a first model agrees on with
-the label. Everything else covers all documents and is done where they are read:
+reference sentences and about ``SAMPLE_DOCS`` labelled documents of each
+language of at most ``SAMPLE_CHARS`` characters, of which only those sentences are
+used that a first model agrees on with the label. A part of the sampled
+documents is held out of the fit and turns margins into confidences.
+``stored`` fits once in a session and keeps the model in the shared folder.
+Everything else covers all documents and is done where they are read, whole:
 only languages leave a scan, and nothing is shuffled.
 
 Headings, log lines, code, quoted sentences and unfinished lines are no
@@ -27,16 +30,18 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from hashlib import sha1
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import strip
 from fathomline.llm.batches import slices
-from fathomline.session import spread
+from fathomline.session import shared_dir, spread
 
 FAMILIES = {"han": ("zh",), "germanic": ("en", "de", "nl"), "romance": ("fr", "es", "pt")}
 LANGUAGES = tuple(x for xs in FAMILIES.values() for x in xs)
@@ -52,8 +57,10 @@ SPELLINGS = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands", "flemish", "vlaams"),
 }
 
-#: Bounds of the training sample: documents of each label, and sentences of each language.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 300, 1000
+#: Bounds of the training sample: documents of each label and their length, and sentences of each language.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES = 300, 20_000, 1000
+#: One of so many sampled documents is held out to measure confidences on.
+HELD_OUT = 5
 #: Weights of a machine; words whose scores a task keeps.
 BUCKETS, KNOWN_WORDS = 1 << 16, 300_000
 
@@ -177,10 +184,13 @@ def fit_machine(rows: Sentences, sign: np.ndarray, ridge: float = 1e-4, rounds:
 
 
 class Model:
-    """The machines of all families and pairs, as columns of one table of weights."""
+    """The machines of all families and pairs, as columns of one table of weights.
 
-    def __init__(self, weights: np.ndarray, scale: np.ndarray):
-        self.weights, self.scale = weights, scale
+    ``sure`` is the slope and offset that turn a margin into a confidence.
+    """
+
+    def __init__(self, weights: np.ndarray, scale: np.ndarray, sure: tuple[float, float] = (2.5, 0.0)):
+        self.weights, self.scale, self.sure = weights, scale, sure
 
     @classmethod
     def fit(cls, examples: list[tuple[str, list[str]]]) -> Model:
@@ -198,8 +208,37 @@ class Model:
         scale = [np.median(np.abs(rows.scores(weights[rows.buckets, c]))) for c in range(weights.shape[1])]
         return cls(weights, np.maximum(scale, 1e-9).astype(np.float32))
 
+    def scores(self, rows: Sentences) -> np.ndarray:
+        return np.stack([rows.scores(self.weights[rows.buckets, c]) for c in range(self.weights.shape[1])], axis=1)
+
     def judge(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language number and confidence for each row of mean scores."""
+        best, margin = self.margins(scores)
+        slope, offset = self.sure
+        return best, 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
+
+    def calibrated(self, scores: np.ndarray, truth: np.ndarray) -> Model:
+        """The model with the slope and offset that fit held-out sentences best, by Newton's method on the log loss.
+
+        Targets are moved in from 0 and 1 by the size of the sample, so that a
+        sample without errors gives finite numbers.
+        """
+        best, margin = self.margins(scores)
+        right = best == truth
+        if not len(right):
+            return self
+        target = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
+        x = np.stack([margin, np.ones(len(margin))], axis=1)
+        at = np.array(self.sure)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+            at = at + np.clip(np.linalg.solve(bend, x.T @ (target - p)), -1, 1)
+        # more margin never means less confidence
+        return Model(self.weights, self.scale, (max(float(at[0]), 0.1), float(at[1])))
+
+    def margins(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language number and its scaled margin for each row of mean scores."""
         scaled = scores / self.scale
         n = len(FAMILIES)
         family = scaled[:, :n].argmax(axis=1)
@@ -218,7 +257,7 @@ class Model:
             won = votes.argmax(axis=1)
             best[own] = np.array([LANGUAGES.index(x) for x in members])[won]
             sure[own] = np.minimum(sure[own], margin[np.arange(len(own)), won].min(axis=1))
-        return best, 1 / (1 + np.exp(-2.5 * sure))
+        return best, sure
 
 
 class Judge:
@@ -315,12 +354,10 @@ def _examples(rows: Iterable[tuple[str, str | None]]) -> tuple[list[tuple[str, l
     return out, owner
 
 
-def _agreed(model: Model, found: list[tuple[str, list[str]]], owner: list[int]) -> list[tuple[str, list[str]]]:
-    """The sentences whose own or neighbours' languages, by the model, are what their text's label says."""
-    rows = Sentences([words for _, words in found])
-    scores = np.stack([rows.scores(model.weights[rows.buckets, c]) for c in range(model.weights.shape[1])], axis=1)
-    best, _ = model.judge(scores)
-    right = np.array([LANGUAGES[b] == lang for b, (lang, _) in zip(best, found, strict=True)], float)
+def _agreed(model: Model, found: list[tuple[str, list[str]]], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which sentences' own languages, by the model, are what their text's label says, and which sentences' neighbours' are."""
+    best, _ = model.judge(model.scores(Sentences([words for _, words in found])))
+    right = np.array([LANGUAGES[b] == lang for b, (lang, _) in zip(best, found, strict=True)])
     text = np.array(owner)
     near, beside = np.zeros(len(text)), np.zeros(len(text))
     for step in (-2, -1, 1, 2):
@@ -331,8 +368,7 @@ def _agreed(model: Model, found: list[tuple[str, list[str]]], owner: list[int])
             same[-step:] = text[-step:] == text[:step]
         near += same
         beside += same * np.roll(right, -step)
-    keep = (right > 0) | ((near > 1) & (beside >= 0.75 * near))
-    return [x for x, k in zip(found, keep, strict=True) if k]
+    return right, (near > 1) & (beside >= 0.75 * near)
 
 
 def _bounded(examples: list[tuple[str, list[str]]], most: int) -> list[tuple[str, list[str]]]:
@@ -344,42 +380,98 @@ def _bounded(examples: list[tuple[str, list[str]]], most: int) -> list[tuple[str
     return out
 
 
-def train(
-    docs: DataFrame, reference: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_sentences: int = SAMPLE_SENTENCES
-) -> Model:
-    """Fit the machines. The driver sees the reference sentences and at most ``sample_docs`` documents of each label."""
-    clean = [
-        (r["lang"], r["text"])
-        for r in reference.where(F.col("text").isNotNull())
-        .select(label_of(F.col("lang")).alias("lang"), F.substring("text", 1, 2000).alias("text"))
-        .where(F.col("lang").isNotNull())
-        .limit(10_000)
-        .collect()
-    ]
-    seeds = [(lang, _WORD.findall(text)) for lang, text in clean]
+def _sample(
+    docs: DataFrame, reference: DataFrame, docs_each: int, chars: int, sentences_each: int
+) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Label and text of the reference sentences and of the sampled documents, each by the smallest hashes."""
+    references = reference.select(label_of(F.col("lang")).alias("lang"), "text").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)
+    )
+    clean = references.orderBy(F.xxhash64("text"), "text").limit(sentences_each * len(LANGUAGES)).collect()
     labelled = docs.select("doc_id", label_of(F.col("lang")).alias("lang")).where(F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("label") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
+        share = F.when(F.col("label") == lang, F.lit(min(1.0, docs_each / n))).otherwise(share)
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = (
         docs.select("doc_id", label_of(F.col("lang")).alias("label"), "text")
-        .where(F.col("text").isNotNull() & (hashed < share))
-        .select("label", F.substring("text", 1, 20_000).alias("text"), "doc_id")
-        .limit(2 * sample_docs * len(LANGUAGES))
+        .where(F.col("text").isNotNull() & (hashed < share) & (F.length("text") <= chars))
+        .orderBy(hashed, "doc_id", "text")
+        .limit(2 * docs_each * len(LANGUAGES))
         .collect()
     )
-    rows = [(r["label"], r["text"]) for r in sorted(sample, key=lambda r: r["doc_id"])]
-    found, owner = _examples(rows)
-    model = Model.fit(_bounded(seeds, sample_sentences)) if len({x for x, _ in seeds}) > 1 else None
-    for _ in range(2):
-        if model is None or not found:
-            break
-        model = Model.fit(_bounded(_agreed(model, found, owner), sample_sentences) + seeds)
-    if model is None:
+    return [(r["lang"], r["text"]) for r in clean], [(r["label"], r["text"]) for r in sample]
+
+
+def train(
+    docs: DataFrame,
+    reference: DataFrame,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_sentences: int = SAMPLE_SENTENCES,
+    sample_chars: int = SAMPLE_CHARS,
+) -> Model:
+    """Fit the machines on a bounded sample, and their confidences on the part of it that is held out.
+
+    The driver sees the reference sentences, ``sample_sentences`` a language at
+    most, and about ``sample_docs`` documents of each label; documents of more than
+    ``sample_chars`` characters are no part of the sample.
+    """
+    clean, rows = _sample(docs, reference, sample_docs, sample_chars, sample_sentences)
+    seeds = [(lang, _WORD.findall(text)) for lang, text in clean]
+    if len({lang for lang, _ in seeds}) < 2:
         raise ValueError("reference sentences of at least two languages are needed")
-    return model
+    held = [i % HELD_OUT == 0 for i in range(len(rows))]
+    found, owner = _examples([r for r, h in zip(rows, held, strict=True) if not h])
+    apart, apart_owner = _examples([r for r, h in zip(rows, held, strict=True) if h])
+    model = Model.fit(_bounded(seeds, sample_sentences))
+    for _ in range(2 if found else 0):
+        own, beside = _agreed(model, found, owner)
+        agreed = [x for x, k in zip(found, own | beside, strict=True) if k]
+        model = Model.fit(_bounded(agreed, sample_sentences) + seeds)
+    if not apart:
+        return model
+    # a held-out sentence's language is what its label and its neighbours say, whatever it looks like itself
+    _, beside = _agreed(model, apart, apart_owner)
+    truth = np.array([LANGUAGES.index(lang) for lang, _ in apart])
+    return model.calibrated(model.scores(Sentences([words for _, words in apart]))[beside], truth[beside])
+
+
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Write a model as a table: a row for each used weight's bucket, and one with what scales them."""
+    used = np.flatnonzero(model.weights.any(axis=1))
+    rows = [(int(b), [float(x) for x in model.weights[b]]) for b in used]
+    rows.append((-1, [*map(float, model.scale), *model.sure]))
+    spark.createDataFrame(rows, "bucket int, weights array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A model that ``save`` wrote; at most BUCKETS + 1 rows."""
+    rows = spark.read.parquet(path).toArrow()
+    buckets, values = rows.column("bucket").to_numpy(), rows.column("weights").to_pylist()
+    head = values[int(np.flatnonzero(buckets == -1)[0])]
+    weights = np.zeros((BUCKETS, len(head) - 2), np.float32)
+    for bucket, row in zip(buckets, values, strict=True):
+        if bucket >= 0:
+            weights[bucket] = row
+    return Model(weights, np.array(head[:-2], np.float32), (head[-2], head[-1]))
+
+
+def stored(docs: DataFrame, reference: DataFrame, **bounds: int) -> Model:
+    """The model of these tables, fitted by the first caller in a session and read by the others.
+
+    Its name in the shared folder comes from the tables' files; a table that is
+    written anew under the same files keeps its model until the session ends.
+    """
+    spark = docs.sparkSession
+    name = sha1(repr((sorted(docs.inputFiles()), sorted(reference.inputFiles()), sorted(bounds.items()))).encode()).hexdigest()
+    path = f"{shared_dir(spark).rstrip('/')}/languages-{name}"
+    try:
+        return load(spark, path)
+    except AnalysisException:  # not there yet
+        model = train(docs, reference, **bounds)
+        save(model, spark, path)
+        return model
 
 
 # --- DataFrames --------------------------------------------------------------
@@ -388,7 +480,7 @@ def train(
 def segments(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, segment, lang, confidence, n_sentences, start_pos, end_pos`` for each stretch in one language."""
     source = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale, model.sure))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(Model(*shared.value))
@@ -420,7 +512,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     ``n_sentences``), most sentences first, empty for documents without any.
     """
     source = docs.select("doc_id", label_of(F.col("lang")).alias("label"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale, model.sure))
     item = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("n_sentences", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,7 +124,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> language.Model:
-    return language.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_reference"))
+    return language.stored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_reference"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

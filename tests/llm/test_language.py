@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,35 @@ def test_held_out_accuracy(model):
     assert right / len(cases) >= 0.9
 
 
+def test_confidences_are_calibrated_on_documents_never_seen(spark, model):
+    """Of stretches with a confidence, about that share is right: labels of documents of other tables tell."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 = 3 and lang in ('en', 'zh', 'de', 'fr', 'es', 'pt', 'nl')")
+    rows = docs.select("lang", "text").where("text is not null").collect()
+    found, owner = L._examples([(r["lang"], r["text"]) for r in rows])
+    _, beside = L._agreed(model, found, owner)
+    best, sure = model.judge(model.scores(L.Sentences([w for _, w in found])))
+    right = np.array([L.LANGUAGES[b] == lang for b, (lang, _) in zip(best, found, strict=True)])[beside]
+    sure = sure[beside]
+    off = 0.0
+    for low in np.arange(0, 1, 0.1):
+        own = (sure >= low) & (sure < low + 0.1 + 1e-9 * (low > 0.85))
+        if own.any():
+            off += own.mean() * abs(sure[own].mean() - right[own].mean())
+    assert off < 0.03
+    assert right.mean() > 0.97
+
+
+def test_model_is_fitted_once_and_read_again(spark, monkeypatch, tmp_path, model):
+    L.save(model, spark, str(tmp_path / "m"))
+    again = L.load(spark, str(tmp_path / "m"))
+    assert np.array_equal(again.weights, model.weights) and np.array_equal(again.scale, model.scale) and again.sure == model.sure
+    d = "/root/testdata/sf0.001"
+    docs, ref = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/lang_reference.parquet")
+    first = L.stored(docs, ref)
+    monkeypatch.setattr(L, "train", None)
+    assert np.array_equal(L.stored(docs, ref).weights, first.weights)
+
+
 def test_agrees_with_labels_on_documents(spark, model):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = L.languages(docs, model).where((F.size("langs") == 1) & F.col("label").isNotNull()).collect()
