@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -33,9 +34,9 @@ def test_shares_caps_and_uniqueness(spark):
             continue
         assert r["most_copies"] <= caps[r["source"]]
         assert r["actual_share"] == pytest.approx(r["target_share"] / 0.95, abs=0.004)
-    whole = {r["source"]: r["whole"] for r in planned.collect()}
+    expected = {r["doc_id"]: r["expected"] for r in m._ranked(sizes, planned).collect()}
     for r in taken.collect():
-        assert whole[r["source"]] <= r["copies"] <= whole[r["source"]] + 1
+        assert math.floor(expected[r["doc_id"]]) <= r["copies"] <= math.floor(expected[r["doc_id"]]) + 1
 
 
 def test_bins_equal_one_sort(spark, monkeypatch):
@@ -55,6 +56,36 @@ def test_repeatable_and_spread(spark):
     assert 1300 < first < 1700
 
 
+def test_odds_differ_with_length(spark):
+    """Long documents are drawn more often, as their probabilities say; fails if documents are put in order by the uniform number alone."""
+    rows = [(i, 0, "a", 64 if i % 2 else 1024) for i in range(4000)]
+    sizes = spark.createDataFrame(rows, SIZES)
+    planned = m.plan(sizes, m.weights(spark.createDataFrame([("a", 1.0, 1)], WEIGHTS)), total=500_000.0).cache()
+    taken = m.mixture(sizes, planned)
+    got = {r["n_tokens"]: r["n"] for r in taken.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    part = {r["n_tokens"]: r["part"] for r in m._ranked(sizes, planned).select("n_tokens", "part").distinct().collect()}
+    assert part[1024] == pytest.approx(4 * part[64])
+    for n in (64, 1024):
+        assert got[n] / 2000 == pytest.approx(part[n], abs=0.035)
+    assert taken.agg(F.sum("n_tokens")).first()[0] == pytest.approx(500_000, abs=512)
+
+
+def test_the_total_may_be_given(spark):
+    sizes, wanted = made(spark, 5)
+    for total in (20_000.0, 100_000.0):
+        planned = m.plan(sizes, m.weights(wanted), total=total)
+        assert m.mixture(sizes, planned).agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] == pytest.approx(total, rel=0.02)
+
+
+def test_factor_meets_the_budget_and_the_cap():
+    classes = [(20, 1000), (30, 5000), (40, 200)]
+    x = m.factor(3000.0, 1, classes, 0.5)
+    assert sum(min(x * 2 ** (c / 8), 1) * t for c, t in classes) == pytest.approx(3000)
+    x = m.factor(12_400.0, 2, classes, 0.5)
+    assert all(x * 2 ** (c / 8) >= 2 - 1e-9 for c, _ in classes)
+    assert m.factor(0.0, 3, [], 0.5) == 0.0
+
+
 def test_sizes_follow_the_scarce_source():
     assert m.best_size([(0.5, 1, 1000, 100), (0.5, 2, 100, 100)]) == pytest.approx(400)
     assert m.best_size([(0.5, 1, 0, 0)]) == 0.0
