@@ -104,6 +104,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(read(spark, sf_dir, "kb_chunks"), "content", keep)
 
 
+def p5_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 300 tokens of the public tokenizer, with an overlap of 30."""
+    rows = read(spark, sf_dir, "kb_chunks")
+    return splitting.split(rows, "content", ["id"], splitting.TOKEN_LIMIT, splitting.TOKEN_OVERLAP, in_tokens=True).drop("text")
+
+
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each chunk come to when they are put together again, and whether all are within the limit."""
+    pieces = splitting.split(read(spark, sf_dir, "kb_chunks"), "content", ["id"])
+    return splitting.rebuilt(pieces, "id").select(
+        "id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"), (F.col("longest") <= splitting.LIMIT).alias("within")
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(read(spark, sf_dir, "documents"))
 
@@ -149,6 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p4_segments,
         p5_found,
         p5_pieces,
+        p5_token_pieces,
+        p5_rebuilt,
         p6_ids,
         p7_mixture,
         p7_report,
@@ -246,6 +262,7 @@ SELECT session_id, turn,
        role, content, id
 FROM message SEMI JOIN sound USING (session_id) WHERE said
 """,
+    "p5_rebuilt": "SELECT id, md5(content) AS digest, CAST(length(content) AS INTEGER) AS n_chars, true AS within FROM kb_chunks WHERE content <> ''",
     "p5_found": f"""
 SELECT id, CASE WHEN regexp_matches(content, '{_NO_BREAK}{{1000}}{_NO_BREAK}{{201}}') THEN 'hard' ELSE 'soft' END AS kind
 FROM kb_chunks WHERE length(content) > 1200

@@ -68,6 +68,9 @@ class Vocabulary:
         merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), merged[order]
+        #: The bytes of each id; each letter of the vocabulary stands for one.
+        self.bytes_of = np.zeros(self.width, np.int64)
+        self.bytes_of[list(ids.values())] = [len(token) for token in ids]
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each pair its place among the keys and its rank, _NONE if it never merges."""
