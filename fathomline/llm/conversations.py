@@ -3,14 +3,20 @@
 Rows are sessionized by their channel (``session_id``), roles are inferred
 from their spellings, stored-again messages are resolved to the row with the
 largest id, and sessions without reciprocal replies are dropped with a reason.
-Inactivity gaps, calibrated on the table itself, split a session's messages
-into segments.
+The times of what is left are sorted, and inactivity gaps, calibrated on the
+table itself, split each conversation into segments.
 
 Every step groups by session *and* turn (or by session and day) before it
 groups by session, so a session with a third of all rows is pre-aggregated in
-many tasks; texts are shuffled once, and only for sound sessions.
+many tasks; texts are shuffled by session and turn once, and only for sound
+sessions. Times are sorted within a session and day; only the first and last moment
+and the number of segments of each day are carried over.
 
-Defined cases: rows with null or empty session id belong to no session; a null
+The gap that splits is ``factor`` times the gap that the given share of messages
+that follow each other doesn't exceed, to the next step of an eighth on a
+logarithmic scale: a count of gaps by steps finds it, however many there are.
+
+Defined cases: messages without a time are in no segment; rows with null or empty session id belong to no session; a null
 turn, an unknown, blank or null role make a session broken; null contents and
 contents of white space and zero-width characters are blank; null ids lose
 against any id; ties keep one row; an empty table gives no rows; further
@@ -31,6 +37,8 @@ ROLES = {
     "system": ("system",),
     "tool": ("tool",),
 }
+#: Steps of a natural logarithm in which gaps are counted.
+STEPS = 8
 #: Question before answer within a turn.
 ROLE_ORDER = ("system", "user", "tool", "assistant")
 
@@ -98,59 +106,46 @@ def dropped(turns: DataFrame) -> DataFrame:
     return verdicts(turns).select("session_id", F.explode("reasons").alias("reason"))
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """The messages of all sound sessions: ``session_id, turn, position, role, content, id, created_at``.
-
-    ``position`` counts a turn's messages from 1, question before answer, so
-    (``turn``, ``position``) orders a conversation. Blank messages are left out.
-    """
+def _sound(turns: DataFrame) -> DataFrame:
+    """The rows of all sound sessions."""
     sound = verdicts(turns).where(F.size("reasons") == 0).select("session_id")
-    rows = _rows(turns).join(sound, "session_id", "left_semi")
-    message = (
-        rows.groupBy("session_id", "turn", "role")
-        .agg(F.max_by(F.struct("content", "created_at", "id"), "id").alias("m"))
-        .where(~is_blank(F.col("m.content")))
-    )
-    rank = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
-    position = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy(rank))
-    return message.select(
-        "session_id",
-        "turn",
-        position.cast("int").alias("position"),
-        "role",
-        F.col("m.content").alias("content"),
-        F.col("m.id").alias("id"),
-        F.col("m.created_at").alias("created_at"),
-    )
+    return _rows(turns).join(sound, "session_id", "left_semi")
 
 
-def calibrated_gap_us(gaps: DataFrame, quantile: float = 0.99, factor: float = 4.0) -> DataFrame:
-    """One row ``gap_us``: ``factor`` times the given quantile of the gaps between messages that follow each other."""
-    return gaps.agg((F.percentile_approx("gap_us", quantile, 10_000) * F.lit(factor)).alias("gap_us"))
-
+def limit_us(gaps: DataFrame, share: float = 0.99, factor: float = 4.0) -> DataFrame:
+    """One row ``limit_us`` from ``gap_us``: the calibrated gap. No row if there are no gaps."""
+    steps = (
+        gaps.where(F.col("gap_us").isNotNull())
+        .groupBy(F.floor(F.ln(F.greatest("gap_us", F.lit(1))) * STEPS).alias("step"))
+        .agg(F.count("*").alias("n"))
+    )
+    # one row for each step, of which a time scale has a few hundred
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    reached = steps.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= F.col("total") * share)
+    return reached.groupBy().agg((F.exp((F.min("step") + 1) / STEPS) * factor).alias("limit_us")).where(F.col("limit_us").isNotNull())
 
-def segments(turns: DataFrame, quantile: float = 0.99, factor: float = 4.0) -> DataFrame:
-    """Stretches of a session without a long silence: ``session_id, segment, first_us, last_us, n_messages, n_turns``.
 
-    Timestamps are sorted within a session and day; only the first and last
-    moment of each day are carried over, so no sort covers a whole session.
-    """
-    rows = (
-        _rows(turns)
-        .where(F.col("created_at").isNotNull())
-        .select("session_id", "turn", F.unix_micros("created_at").alias("us"))
-        .withColumn("day", F.floor(F.col("us") / F.lit(86_400_000_000)))
+def _segmented(rows: DataFrame, share: float, factor: float) -> DataFrame:
+    """``session_id, turn, role, us, segment`` of each message that is said and has a time; ``rows`` are those of sound sessions."""
+    light = rows.select(
+        "session_id", "turn", "role", "id", (~is_blank(F.col("content"))).alias("said"), F.unix_micros("created_at").alias("us")
     )
-    within = Window.partitionBy("session_id", "day").orderBy("us", "turn")
-    timed = rows.repartition("session_id", "day").withColumn("before", F.lag("us").over(within))
-    ends = timed.groupBy("session_id", "day").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    timed = (
+        light.groupBy("session_id", "turn", "role")
+        .agg(F.max_by(F.struct("said", "us"), "id").alias("m"))
+        .where(F.col("m.said") & F.col("m.us").isNotNull())
+        .select("session_id", "turn", "role", "m.us", F.floor(F.col("m.us") / F.lit(86_400_000_000)).alias("day"))
+    )
+    within = Window.partitionBy("session_id", "day").orderBy("us", "turn", "role")
+    timed = timed.repartition("session_id", "day").withColumn("before", F.lag("us").over(within))
+    ends = timed.groupBy("session_id", "day").agg(F.max("us").alias("last_us"))
     across = Window.partitionBy("session_id").orderBy("day")
     carried = ends.select("session_id", "day", F.lag("last_us").over(across).alias("carried"))
     placed = timed.join(carried, ["session_id", "day"]).withColumn(
         "gap_us", F.col("us") - F.coalesce(F.col("before"), F.col("carried"))
     )
-    limit = calibrated_gap_us(placed, quantile, factor).withColumnRenamed("gap_us", "limit_us")
-    opened = placed.crossJoin(F.broadcast(limit)).withColumn(
+    opened = placed.join(F.broadcast(limit_us(placed, share, factor)), how="left").withColumn(
         "opens", (F.col("gap_us").isNull() | (F.col("gap_us") > F.col("limit_us"))).cast("int")
     )
     daily = opened.groupBy("session_id", "day").agg(F.sum("opens").alias("n_opens"))
@@ -160,7 +155,46 @@ def segments(turns: DataFrame, quantile: float = 0.99, factor: float = 4.0) -> D
     return (
         opened.withColumn("in_day", so_far)
         .join(offset, ["session_id", "day"])
-        .groupBy("session_id", (F.col("offset") + F.col("in_day")).alias("segment"))
+        .select("session_id", "turn", "role", "us", (F.col("offset") + F.col("in_day")).cast("int").alias("segment"))
+    )
+
+
+def conversations(turns: DataFrame, share: float = 0.99, factor: float = 4.0) -> DataFrame:
+    """The messages of all sound sessions: ``session_id, turn, position, role, content, id, created_at, segment``.
+
+    ``position`` counts a turn's messages from 1, question before answer, so
+    (``turn``, ``position``) orders a conversation; ``segment`` counts the stretches
+    without a long silence. Blank messages are left out.
+    """
+    rows = _sound(turns)
+    message = (
+        rows.repartition("session_id", "turn")
+        .groupBy("session_id", "turn", "role")
+        .agg(F.max_by(F.struct("content", "created_at", "id"), "id").alias("m"))
+        .where(~is_blank(F.col("m.content")))
+    )
+    # a turn of a sound session has one message of each known role at most
+    by_role = F.map_from_entries(F.collect_list(F.struct("role", "segment"))).alias("by_role")
+    placed = _segmented(rows, share, factor).groupBy("session_id", "turn").agg(by_role)
+    rank = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
+    position = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy(rank))
+    return message.join(placed, ["session_id", "turn"], "left").select(
+        "session_id",
+        "turn",
+        position.cast("int").alias("position"),
+        "role",
+        F.col("m.content").alias("content"),
+        F.col("m.id").alias("id"),
+        F.col("m.created_at").alias("created_at"),
+        F.try_element_at("by_role", F.col("role")).alias("segment"),
+    )
+
+
+def segments(turns: DataFrame, share: float = 0.99, factor: float = 4.0) -> DataFrame:
+    """The segments of ``conversations``: ``session_id, segment, first_us, last_us, n_messages, n_turns``."""
+    return (
+        _segmented(_sound(turns), share, factor)
+        .groupBy("session_id", "segment")
         .agg(
             F.min("us").alias("first_us"),
             F.max("us").alias("last_us"),

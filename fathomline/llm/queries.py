@@ -87,7 +87,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(read(spark, sf_dir, "episodic_turns")).select(
-        "session_id", "turn", "position", "role", "content", "id"
+        "session_id", "turn", "position", "role", "content", "id", "segment"
     )
 
 
@@ -193,12 +193,12 @@ measured AS (
 )"""
 _TURNS = rf"""
 cleaned AS (
-  SELECT session_id, turn, id, content,
+  SELECT session_id, turn, id, content, created_at,
          lower(regexp_replace(role, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS said_role
   FROM episodic_turns WHERE session_id IS NOT NULL AND session_id <> ''
 ),
 known AS (
-  SELECT session_id, turn, id, content,
+  SELECT session_id, turn, id, content, created_at,
          CASE WHEN said_role IN ('user', 'human') THEN 'user'
               WHEN said_role IN ('assistant', 'ai', 'bot') THEN 'assistant'
               WHEN said_role IN ('system', 'tool') THEN said_role END AS role
@@ -222,6 +222,20 @@ per_session AS (
            OR max(CASE WHEN asked OR answered THEN turn END) <> count(CASE WHEN asked OR answered THEN turn END) AS broken
   FROM per_turn GROUP BY 1
 )"""
+_SEGMENTS = f"""
+sound AS (SELECT session_id FROM per_session WHERE NOT is_empty AND NOT no_reply AND NOT coalesce(broken, true)),
+gapped AS (
+  SELECT session_id, turn, role, us, us - lag(us) OVER (PARTITION BY session_id ORDER BY us, turn, role) AS gap
+  FROM (SELECT session_id, turn, role, epoch_us(created_at) AS us FROM message WHERE said AND created_at IS NOT NULL) SEMI JOIN sound USING (session_id)
+),
+steps AS (SELECT floor(ln(greatest(gap, 1)) * {conversations.STEPS}) AS step, count(*) AS n FROM gapped WHERE gap IS NOT NULL GROUP BY 1),
+reached AS (SELECT step, sum(n) OVER (ORDER BY step) AS upto, sum(n) OVER () AS total FROM steps),
+calibrated AS (SELECT exp((min(step) + 1) / {conversations.STEPS}) * 4 AS gap_limit FROM reached WHERE upto >= total * CAST(0.99 AS DOUBLE)),
+segmented AS (
+  SELECT session_id, turn, role, us,
+         CAST(sum(CAST(gap IS NULL OR gap > gap_limit AS INTEGER)) OVER (PARTITION BY session_id ORDER BY us, turn, role) AS INTEGER) AS segment
+  FROM gapped, calibrated
+)"""
 _NO_BREAK = rf"[^{_SPACE}.,;:!?。，；：！？、]"
 
 
@@ -254,13 +268,18 @@ UNION ALL SELECT session_id, 'no_reply' FROM per_session WHERE NOT is_empty AND
 UNION ALL SELECT session_id, 'broken' FROM per_session WHERE NOT is_empty AND coalesce(broken, true)
 """,
     "p4_conversations": f"""
-WITH {_TURNS},
-sound AS (SELECT session_id FROM per_session WHERE NOT is_empty AND NOT no_reply AND NOT coalesce(broken, true))
-SELECT session_id, turn,
-       CAST(row_number() OVER (PARTITION BY session_id, turn ORDER BY
-         CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'tool' THEN 3 ELSE 4 END) AS INTEGER) AS position,
-       role, content, id
-FROM message SEMI JOIN sound USING (session_id) WHERE said
+WITH {_TURNS}, {_SEGMENTS}
+SELECT m.session_id, m.turn,
+       CAST(row_number() OVER (PARTITION BY m.session_id, m.turn ORDER BY
+         CASE m.role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'tool' THEN 3 ELSE 4 END) AS INTEGER) AS position,
+       m.role, content, id, segment
+FROM message m SEMI JOIN sound USING (session_id) LEFT JOIN segmented s ON s.session_id = m.session_id AND s.turn = m.turn AND s.role = m.role
+WHERE said
+""",
+    "p4_segments": f"""
+WITH {_TURNS}, {_SEGMENTS}
+SELECT session_id, segment, min(us) AS first_us, max(us) AS last_us, count(*) AS n_messages, count(DISTINCT turn) AS n_turns
+FROM segmented GROUP BY 1, 2
 """,
     "p5_rebuilt": "SELECT id, md5(content) AS digest, CAST(length(content) AS INTEGER) AS n_chars, true AS within FROM kb_chunks WHERE content <> ''",
     "p5_found": f"""

@@ -78,11 +78,28 @@ def test_each_reason(spark):
 
 def test_segments_split_at_long_silences(spark):
     made = []
-    for i in range(300):
-        made.append((i, "a", i, "user", "x", T0 + dt.timedelta(minutes=i + (60 * 48 if i >= 150 else 0)), "", 0))
-    made += [(900, "b", 1, "user", "x", T0, "", 0), (901, None, 1, "user", "x", T0, "", 0), (902, "b", 2, "user", "x", None, "", 0)]
-    got = c.segments(spark.createDataFrame(made, SCHEMA)).collect()
-    assert sorted((r["session_id"], r["segment"], r["n_messages"]) for r in got) == [("a", 1, 150), ("a", 2, 150), ("b", 1, 1)]
+    for i in range(150):
+        at = T0 + dt.timedelta(minutes=2 * i + (60 * 48 if i >= 75 else 0))
+        made += [(2 * i, "a", i + 1, "user", "x", at, "", 0), (2 * i + 1, "a", i + 1, "assistant", "x", at + dt.timedelta(minutes=1), "", 0)]
+    # stored again, blank, without a time, and a session that isn't sound
+    made += [(-1, "a", 1, "user", "old", T0 - dt.timedelta(days=9), "", 0), (800, "a", 1, "system", " ", T0 + dt.timedelta(days=90), "", 0)]
+    made += [(900, "b", 1, "user", "x", T0, "", 0), (901, "b", 1, "assistant", "x", None, "", 0)]
+    made += [(902, None, 1, "user", "x", T0, "", 0), (903, "c", 1, "user", "x", T0, "", 0)]
+    df = spark.createDataFrame(made, SCHEMA)
+    got = c.segments(df).collect()
+    assert sorted((r["session_id"], r["segment"], r["n_messages"], r["n_turns"]) for r in got) == [("a", 1, 150, 75), ("a", 2, 150, 75), ("b", 1, 1, 1)]
+    rows = c.conversations(df).collect()
+    assert len(rows) == 302
+    assert all(r["segment"] == (1 if r["turn"] <= 75 else 2) for r in rows if r["session_id"] == "a")
+    assert {(r["role"], r["segment"]) for r in rows if r["session_id"] == "b"} == {("user", 1), ("assistant", None)}
+
+
+def test_the_gap_is_calibrated_on_the_table(spark):
+    gaps = spark.createDataFrame([(1000,)] * 990 + [(10**9,)] * 10 + [(None,), (0,)], "gap_us long")
+    limit = c.limit_us(gaps, 0.98, 4.0).first()[0]
+    assert 4000 < limit < 4000 * 2.72 ** (1 / c.STEPS)
+    assert c.limit_us(gaps, 1.0, 4.0).first()[0] > 4 * 10**9
+    assert c.limit_us(gaps.limit(0), 0.99, 4.0).count() == 0
 
 
 def test_empty_table(spark):
