@@ -79,3 +79,9 @@ def section(c: Column, title: str) -> Column:
     """The text under a second-level heading, up to the next one; empty if there is none."""
     quoted = "".join("\\" + x if x in r"\.[]{}()*+-?^$|/" else x for x in title)
     return strip(F.regexp_extract(c, rf"(?ms)^##[ \t]+{quoted}[ \t]*$\n(.*?)(?=^##[ \t]|\z)", 1))
+
+
+def zipped(left: Column, right: Column) -> Column:
+    """Array of struct(left, right) by places. Arrays of different lengths are refused; null gives null."""
+    checked = F.assert_true(F.coalesce(F.size(left) == F.size(right), F.lit(True)), "lists of different lengths can't be put together")
+    return F.when(checked.isNull(), F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right"))))

@@ -121,9 +121,10 @@ def words(c: Column) -> Column:
     )
 
 
-def snippet(text: Column, term: Column, around: int = 80, head: int = 120) -> Column:
-    """The text around the first place of a term, or its head; white space reduced."""
-    place = F.position(term, F.lower(text))
+def snippet(text: Column, terms: Column, around: int = 80, head: int = 120) -> Column:
+    """The text around the first place of the first of ``terms`` that it has, or its head; white space reduced."""
+    term = F.get(F.filter(terms, lambda t: F.contains(F.lower(text), t)), F.lit(0))
+    place = F.coalesce(F.position(term, F.lower(text)), F.lit(0))
     start = F.greatest(place - around, F.lit(1))
     part = F.when(place > 0, F.substring(text, start, place - start + F.length(term) + around)).otherwise(
         F.substring(text, F.lit(1), F.lit(head))

@@ -122,6 +122,18 @@ def volatility(runs: DataFrame, case: str, score: str) -> DataFrame:
     )
 
 
+def class_shares(cases: DataFrame, of: str) -> DataFrame:
+    """Cases of each class and their share in percent; the classes are few."""
+    counted = cases.groupBy(of).agg(F.count("*").alias("n"))
+    total = F.broadcast(counted.agg(F.sum("n").alias("_all")))
+    return counted.crossJoin(total).select(of, "n", F.round(100.0 * F.col("n") / F.col("_all"), 4).alias("share"))
+
+
+def retryable(error: Column, names: tuple[str, ...]) -> Column:
+    """Whether an error is of a kind that another try may get over: by its name, or a timeout in any spelling."""
+    return error.rlike("|".join(names)) | F.contains(F.lower(error), F.lit("timeout"))
+
+
 def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, median, deviation and range of a group's values."""
     return rows.where(F.col(value) >= 0).groupBy(group).agg(

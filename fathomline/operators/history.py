@@ -1,20 +1,19 @@
-"""Validity history of changing entity attributes (checkpoints and deltas).
+"""Validity history of changing entity attributes, from stored checkpoints and deltas.
 
 An append-only log of statements ``(entity, attribute, value, time, id)`` is
-stored as
+stored (``stored``) as two tables in the shared folder:
 
-* **patches**: one row per entity, attribute and moment (of several statements
-  at one moment the row with the largest id holds), with the checkpoint period
-  the moment falls into, and
-* **checkpoints**: for each attribute and each period that patches it, the value
-  and its start as they stood when the period began: the part of a full
-  version of the entity that a reader of the period needs. ``full_versions``
-  writes whole versions.
+* **patches**: a row for each change of an attribute within a period (of several
+  statements at one moment the row with the largest id holds), and
+* **versions**: the full version of every entity at the start of each period:
+  its attributes with the values that hold then, since when, and until when. What
+  never changes again is written once and belongs to all later versions.
 
-``validity`` folds the patches of a period forward from its checkpoint, so
-that neither a fold nor a sort ever covers more than one period of one
-attribute, however many rows an entity has. Only one row per attribute and
-period is carried between periods.
+``validity`` folds the patches of each period forward from the version at its start,
+up to what the next version says about its end. ``as_of`` reads the nearest
+version before a moment and the patches between the two. Neither a fold nor a
+sort ever covers more than one period of one attribute, however many rows an
+entity has; only one row per attribute and period is carried between periods.
 
 Defined cases: rows with null time, null or blank value say nothing; null
 entities and attributes are kept as keys of their own; repeated rows and
@@ -24,17 +23,27 @@ log gives an empty history; further columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import UNSEEN, fold_key
 from fathomline.session import cut
 
-#: Stands for a null key between the shuffles, so that all joins stay plain equi-joins.
+#: Stands for a null key between the shuffles.
 _NULL = "\x00null"
 
-#: Length of a checkpoint period in microseconds (30 days).
-PERIOD_US = 30 * 86_400 * 1_000_000
+#: Length of a period in microseconds (90 days).
+PERIOD_US = 90 * 86_400 * 1_000_000
+
+
+class Store(NamedTuple):
+    """The two tables of a log, and the length of their periods."""
+
+    patches: DataFrame
+    versions: DataFrame
+    period_us: int
 
 
 def patches(
@@ -46,7 +55,7 @@ def patches(
     order: str = "id",
     period_us: int = PERIOD_US,
 ) -> DataFrame:
-    """The delta side of the store: ``entity, attribute, period, ts, value``, one row per moment."""
+    """``entity, attribute, period, ts, value``: what the log says, one row per moment."""
     said = log.select(
         F.coalesce(fold_key(F.col(entity)), F.lit(_NULL)).alias("entity"),
         F.coalesce(fold_key(F.col(attribute)), F.lit(_NULL)).alias("attribute"),
@@ -55,8 +64,7 @@ def patches(
         F.col(order).alias("_order"),
     ).where(F.col("ts").isNotNull() & F.col("value").isNotNull() & F.col("value").rlike(rf"[^{UNSEEN}]"))
     return (
-        # the period can't be null; saying so keeps both readers of the patches on one shuffle
-        said.withColumn("period", F.coalesce(F.floor(F.col("ts") / F.lit(period_us)), F.lit(0)))
+        said.withColumn("period", F.floor(F.col("ts") / F.lit(period_us)))
         .repartition("entity", "attribute", "period")
         .groupBy("entity", "attribute", "period", "ts")
         .agg(F.max_by("value", "_order").alias("value"))
@@ -73,117 +81,123 @@ def _changes(patch: DataFrame) -> DataFrame:
     return (
         patch.withColumn("_before", F.lag("value").over(within))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("value")))
-        .withColumn("_first", F.col("_before").isNull())
+        .withColumn("first", F.col("_before").isNull())
         .drop("_before")
     )
 
 
-def checkpoints(changes: DataFrame) -> DataFrame:
-    """``entity, attribute, period`` with the value before the period and the start of the next version after it.
+def _versions(changes: DataFrame, period_us: int, at_us: int | None) -> DataFrame:
+    """``entity, attribute, version, value, since, until, opens, ends``: what holds when period ``version`` begins.
 
-    One row per attribute and period. ``value_before`` and ``since`` are the
-    checkpoint a reader folds forward from; ``next_ts`` is where the last
-    version of the period ends, or null.
+    ``until`` is -1 for what still holds; such a row stands for all later versions
+    as well, so a far moment in a log doesn't multiply the others. ``opens`` says that the period has
+    patches of the attribute, ``ends`` that the period before it has. With ``at_us``
+    only the version nearest before that moment is made.
     """
-    ends = changes.groupBy("entity", "attribute", "period").agg(
+    keys = ["entity", "attribute"]
+    runs = changes.groupBy(*keys, "period").agg(
         F.min("ts").alias("first_ts"),
         F.min_by("value", "ts").alias("first_value"),
-        F.max_by("value", "ts").alias("last_value"),
+        F.min(F.when(~F.col("first"), F.col("ts"))).alias("second_ts"),
         F.max("ts").alias("last_ts"),
-        F.min(F.when(~F.col("_first"), F.col("ts"))).alias("second_ts"),
-    )
-    forward = Window.partitionBy("entity", "attribute").orderBy("period")
-    backward = (
-        Window.partitionBy("entity", "attribute")
-        .orderBy(F.col("period").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    known = ends.withColumn("value_before", F.lag("last_value").over(forward)).withColumn(
-        "opens", F.col("value_before").isNull() | (F.col("value_before") != F.col("first_value"))
+        F.max_by("value", "ts").alias("value"),
     )
-    started = F.when(F.col("opens"), F.col("first_ts")).otherwise(F.col("second_ts"))
-    return known.withColumn("next_ts", F.min(started).over(backward)).select(
-        "entity", "attribute", "period", "value_before", "opens", "next_ts"
+    forward = Window.partitionBy(*keys).orderBy("period")
+    later = forward.rowsBetween(1, Window.unboundedFollowing)
+    before = F.lag("value").over(forward)
+    started = F.when(before.isNull() | (before != F.col("first_value")), F.col("first_ts")).otherwise(F.col("second_ts"))
+    # a period that only repeats what held before it starts nothing
+    since = F.when(F.col("started").isNotNull(), F.col("last_ts"))
+    carried = (
+        runs.withColumn("started", started)
+        .withColumn("since", F.last(since, ignorenulls=True).over(forward))
+        .withColumn("until", F.coalesce(F.min("started").over(later), F.lit(-1)))
+        .withColumn("next", F.lead("period").over(forward))
     )
+    if at_us is None:
+        rows = carried.withColumn("version", F.explode(F.sequence(F.col("period") + 1, F.coalesce("next", F.col("period") + 1))))
+    else:
+        wanted = at_us // period_us
+        rows = carried.where((F.col("period") < wanted) & (F.col("next").isNull() | (F.col("next") >= wanted))).withColumn(
+            "version", F.lit(wanted).cast("long")
+        )
+    opens = F.coalesce(F.col("version") == F.col("next"), F.lit(False)).alias("opens")
+    return rows.select(*keys, "version", "value", "since", "until", opens, (F.col("version") == F.col("period") + 1).alias("ends"))
+
+
+def stored(log: DataFrame, period_us: int = PERIOD_US, at_us: int | None = None, **names: str) -> Store:
+    """Write a log's patches and versions. With ``at_us`` only the version is written that a reader of the moment needs."""
+    changes = cut(_changes(patches(log, period_us=period_us, **names)))
+    return Store(changes, cut(_versions(changes, period_us, at_us)), period_us)
 
 
-def validity(log: DataFrame, **names) -> DataFrame:
-    """``entity, attribute, value, valid_from_us, valid_to_us`` for every version; -1 is still valid."""
-    return _validity(patches(log, **names))
+def validity(log: DataFrame, period_us: int = PERIOD_US, **names: str) -> DataFrame:
+    """``entity, attribute, value, valid_from_us, valid_to_us`` for every version of a value; -1 is still valid."""
+    return folded(stored(log, period_us, **names))
 
 
-def _validity(patch: DataFrame) -> DataFrame:
-    changed = _changes(patch)
-    carried = checkpoints(changed)
+def folded(store: Store) -> DataFrame:
+    """The validity rows of a store: the patches of each period, folded forward from the version before them.
+
+    A period's version, its patches and what the next version says about its end
+    are put in order together, so one shuffle serves all.
+    """
     keys = ["entity", "attribute", "period"]
-    folded = changed.join(carried.drop("value_before"), keys).where(~F.col("_first") | F.col("opens"))
-    within = Window.partitionBy(*keys).orderBy("ts")
-    ends = F.coalesce(F.lead("ts").over(within), F.col("next_ts"), F.lit(-1))
-    return folded.withColumn("valid_to_us", ends).select(
+    none = F.lit(None).cast("long")
+    first = store.versions.where("opens").select(
+        *keys[:2], F.col("version").alias("period"), F.lit(0).alias("kind"), none.alias("ts"), "value"
+    )
+    middle = store.patches.select(*keys, F.lit(1).alias("kind"), "ts", "value")
+    end = store.versions.where("ends").select(
+        *keys[:2], (F.col("version") - 1).alias("period"), F.lit(2).alias("kind"), F.col("until").alias("ts"), F.lit(None).cast("string").alias("value")
+    )
+    inside = Window.partitionBy(*keys).orderBy("kind", "ts")
+    rows = (
+        first.unionByName(middle)
+        .unionByName(end)
+        .withColumn("before", F.lag("value").over(inside))
+        .withColumn("valid_to_us", F.lead("ts").over(inside))
+    )
+    return rows.where((F.col("kind") == 1) & (F.col("before").isNull() | (F.col("before") != F.col("value")))).select(
         _key("entity"), _key("attribute"), "value", F.col("ts").alias("valid_from_us"), "valid_to_us"
     )
 
 
-def full_versions(log: DataFrame, every_us: int = 6 * PERIOD_US, **names) -> DataFrame:
-    """Whole versions of every entity at each multiple of ``every_us`` within the log's time.
+def full_versions(log: DataFrame, period_us: int = PERIOD_US, **names: str) -> DataFrame:
+    """``entity, version_at_us, attribute, value, since_us, stands``: the stored versions of every entity.
 
-    ``entity, version_at_us, attribute, value, since_us``: the attributes that
-    were valid at the moment. Each validity row is repeated for the moments it
-    covers, so the work follows the result.
+    A row that ``stands`` belongs to all versions from its own on.
     """
-    return _full_versions(patches(log, **names), every_us)
+    at = (F.col("version") * F.lit(period_us)).alias("version_at_us")
+    return stored(log, period_us, **names).versions.select(_key("entity"), at, _key("attribute"), "value", F.col("since").alias("since_us"), (F.col("until") == -1).alias("stands"))
 
 
-def _full_versions(patch: DataFrame, every_us: int) -> DataFrame:
-    rows = _validity(patch)
-    last = rows.agg(F.max("valid_from_us").alias("_last"))
-    span = rows.crossJoin(F.broadcast(last)).withColumn(
-        "_end", F.when(F.col("valid_to_us") == -1, F.col("_last") + F.lit(1)).otherwise(F.col("valid_to_us"))
-    )
-    first = F.ceil(F.col("valid_from_us") / F.lit(every_us))
-    final = F.ceil(F.col("_end") / F.lit(every_us)) - 1
-    return (
-        span.where(final >= first)
-        .withColumn("_n", F.explode(F.sequence(first, final)))
-        .select(
-            "entity",
-            (F.col("_n") * F.lit(every_us)).alias("version_at_us"),
-            "attribute",
-            "value",
-            F.col("valid_from_us").alias("since_us"),
-        )
-    )
+def as_of(log: DataFrame, at_us: int, period_us: int = PERIOD_US, **names: str) -> DataFrame:
+    """The value of each attribute at a moment; ``entity, attribute, value, since_us``."""
+    return read_as_of(stored(log, period_us, at_us, **names), at_us)
 
 
-def as_of(log: DataFrame, at_us: int, every_us: int = 6 * PERIOD_US, **names) -> DataFrame:
-    """The value of each attribute at a moment: the nearest full version before it, patched forward.
+def read_as_of(store: Store, at_us: int) -> DataFrame:
+    """``as_of`` from a store: the version nearest before the moment, and the patches between the two.
 
-    ``entity, attribute, value, since_us``. Only patches between the full
-    version and the moment are folded over the version's rows.
+    The newest patch of an attribute holds; if it is the first one and
+    repeats what the version says, that goes on.
     """
-    base = at_us // every_us * every_us
-    # the delta side of the store is read three times, so it is written once
-    all_patches = cut(patches(log, **names))
-    # no full version is stored after the log's last moment
-    nearest = F.broadcast(
-        all_patches.agg(F.least(F.floor(F.max("ts") / F.lit(every_us)) * F.lit(every_us), F.lit(base)).alias("_base"))
-    )
-    stored = (
-        _full_versions(all_patches, every_us)
-        .crossJoin(nearest)
-        .where(F.col("version_at_us") == F.col("_base"))
-        .fillna(_NULL, ["entity", "attribute"])
+    nearest = at_us // store.period_us
+    stands = (F.col("version") == nearest) | ((F.col("version") < nearest) & (F.col("until") == -1))
+    base = store.versions.where(stands).select(
+        "entity", "attribute", F.lit(None).cast("long").alias("ts"), "value", "since", F.lit(False).alias("first")
     )
-    later = all_patches.crossJoin(nearest).where((F.col("ts") > F.col("_base")) & (F.col("ts") <= F.lit(at_us)))
-    changed = later.select("entity", "attribute", "ts", "value").unionByName(
-        stored.select("entity", "attribute", F.col("since_us").alias("ts"), "value")
+    later = store.patches.where((F.col("ts") >= nearest * store.period_us) & (F.col("ts") <= at_us)).select(
+        "entity", "attribute", "ts", "value", F.lit(None).cast("long").alias("since"), "first"
     )
-    per_key = Window.partitionBy("entity", "attribute").orderBy("ts")
-    starts = changed.withColumn("_before", F.lag("value").over(per_key)).where(
-        F.col("_before").isNull() | (F.col("_before") != F.col("value"))
-    )
-    return (
-        starts.groupBy("entity", "attribute")
-        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("since_us"))
-        .select(_key("entity"), _key("attribute"), "value", "since_us")
+    newest = F.max_by(F.struct("value", "ts", "first"), "ts")
+    held = F.max(F.when(F.col("ts").isNull(), F.struct("value", "since")))
+    both = base.unionByName(later).groupBy("entity", "attribute").agg(newest.alias("p"), held.alias("v"))
+    goes_on = F.coalesce((F.col("p.value") == F.col("v.value")) & F.col("p.first"), F.col("p").isNull())
+    return both.select(
+        _key("entity"),
+        _key("attribute"),
+        F.when(goes_on, F.col("v.value")).otherwise(F.col("p.value")).alias("value"),
+        F.when(goes_on, F.col("v.since")).otherwise(F.col("p.ts")).alias("since_us"),
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,12 @@ K1, B = 1.5, 0.75
 BLOCK = 2048
 #: Documents and queries in a block of a term search.
 DOC_BLOCK, QUERY_BLOCK = 4096, 512
+#: Blocks of a group that are compared in one task.
+BLOCKS_AT_ONCE = 16
+#: Cells of a vector index, and rows that their centres are fitted on at most.
+CELLS, INDEX_SAMPLE = 64, 20_000
+#: The share of neighbours within the sample that the probed cells are to hold, and the queries and neighbours it is measured on.
+TARGET, PROBE_QUERIES, PROBE_NEIGHBOURS = 0.95, 256, 10
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,20 +82,26 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, n: int = 50) ->
     return _ranked(_best(parts, weighted, n, lambda s: np.round(s, 6), total["n_docs"]), n)
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``id, term, weight``: the terms that a document's columns contain, also inside of words, with the columns' weights added.
+def word_index(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``id, place, word, key``: the distinct words of each of a document's columns. Write it once and search it often.
 
-    A term lies within one word of a text, so only distinct words are searched:
-    their pieces of the lengths that terms have are joined with the terms.
+    128 bits stand for a word where a very long one would be repeated.
     """
     word = F.explode(F.array_distinct(words(F.col("_t")))).alias("word")
     rows = spread(docs)
     placed = None
-    for column, weight in weights.items():
-        part = rows.select("id", F.col(column).alias("_t")).select("id", F.lit(float(weight)).alias("weight"), F.lit(column).alias("place"), word)
+    for column in columns:
+        part = rows.select("id", F.lit(column).alias("place"), F.col(column).alias("_t")).select("id", "place", word)
         placed = part if placed is None else placed.unionByName(part)
-    # a very long word would be repeated with each of its pieces, so 128 bits stand for it
-    placed = cut(placed.withColumn("key", F.md5("word")))
+    return placed.withColumn("key", F.md5("word"))
+
+
+def term_hits(placed: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``id, term, weight``: the terms that a document's columns contain, also inside of words, with the columns' weights added.
+
+    ``placed`` is a ``word_index``. A term lies within one word of a text, so only distinct words are searched:
+    their pieces of the lengths that terms have are joined with the terms.
+    """
     lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +122,27 @@ def term_hits(docs: DataFrame, terms: DataFrame, weights: dict[str, float]) -> D
     distinct = placed.select("key", "word").distinct().crossJoin(F.broadcast(lengths))
     within = distinct.mapInArrow(pieces, "key string, term string").join(terms.select("term").distinct(), "term", "left_semi")
     # a column counts once for a term, in however many of its words the term is
-    hits = placed.join(within, "key").select("id", "term", "place", "weight").distinct()
-    return hits.groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+    hits = placed.join(within, "key").select("id", "term", "place").distinct()
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("place"))
+    return hits.groupBy("id", "term").agg(F.sum(weight).alias("weight"))
+
+
+#: What a hit in each column counts in a keyword search (fixed values).
+KEYWORD_WEIGHTS = {"title": 3.0, "text": 1.0, "category": 0.5}
+
 
+def keyword(docs: DataFrame, queries: DataFrame, n: int = 5, placed: DataFrame | None = None) -> DataFrame:
+    """``qid, id, score, rank, snippet``: title hits count three, text hits one, category hits a half, s / (s + 3).
 
-def keyword(docs: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
-    """``qid, id, score, rank, snippet``: title hits count three, text hits one, category hits a half, s / (s + 3)."""
+    ``placed`` is the ``word_index`` of the three columns, if there is one already.
+    """
     asked = query_terms(queries)
-    hits = cut(term_hits(docs, asked, {"title": 3, "text": 1, "category": 0.5}))
+    placed = cut(word_index(docs, tuple(KEYWORD_WEIGHTS))) if placed is None else placed
+    hits = cut(term_hits(placed, asked, KEYWORD_WEIGHTS))
     best = _best(hits, asked.withColumn("weight", F.lit(1.0)), n, lambda s: np.floor(s / (s + 3) * 1000 + 0.5) / 1000)
-    first = queries.select("qid", F.get(words(F.col("query")), F.lit(0)).alias("_first"))
-    shown = _ranked(best, n).join(docs.select("id", "text"), "id").join(first, "qid")
-    return shown.select("qid", "id", "score", "rank", snippet(F.col("text"), F.col("_first")).alias("snippet"))
+    # texts of the winners alone
+    shown = _ranked(best, n).join(docs.select("id", "text"), "id").join(queries.select("qid", words(F.col("query")).alias("_terms")), "qid")
+    return shown.select("qid", "id", "score", "rank", snippet(F.col("text"), F.col("_terms")).alias("snippet"))
 
 
 def _term_blocks(rows: DataFrame, key: str, prefix: str, size: int, total: int | None = None) -> DataFrame:
@@ -259,12 +281,123 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = 10, with_self: bool
                     names=["qid", "id", "distance"],
                 )
 
-    met = data.join(asked, "grp") if group else data.drop("grp").crossJoin(asked.drop("grp"))
+    met = _met_in_groups(data, asked) if group else data.drop("grp").crossJoin(asked.drop("grp"))
     pairs = met.select("d_ids", "d_data", "q_ids", "q_data").mapInArrow(compare, "qid long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= n)
 
 
+def _met_in_groups(data: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of vectors with the blocks of queries of their group; a group of many blocks is split, and its queries repeated."""
+    n_salts = F.ceil(F.sum(F.size("d_ids")) / F.lit(BLOCK * BLOCKS_AT_ONCE)).cast("int")
+    sizes = data.groupBy("grp").agg(F.greatest(n_salts, F.lit(1)).alias("salts"))
+    salted = data.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("d_ids"), F.col("salts")).cast("int")).drop("salts")
+    repeated = asked.join(sizes, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return salted.join(repeated, ["grp", "salt"]).drop("salt")
+
+
+# --- an index of vectors -----------------------------------------------------
+
+
+class VectorIndex(NamedTuple):
+    """Cells of vectors around centres: ``id, v, cell`` of every row, the centres, and the cells a query has to look into."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=-1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _nearest_cells(vectors: DataFrame, centres: np.ndarray, n: int, name: str) -> DataFrame:
+    """Rows with the ``n`` nearest cells of each, one row a cell."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    names = vectors.columns
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(shared.value):
+                near = _unit(np.array(batch.column("v").to_pylist(), np.float64)) @ shared.value.T
+                cells = np.argsort(-near, axis=1, kind="stable")[:, :n]
+                taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.ravel().astype(np.int32))], names=[*names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(assign, f"{schema}, {name} int")
+
+
+def vector_index(vectors: DataFrame, cells: int = CELLS, sample: int = INDEX_SAMPLE, rounds: int = 20) -> VectorIndex:
+    """An index over every row with a vector of ``id, v``.
+
+    The centres are fitted by k-means of directions on the driver, on at most ``sample`` rows, those
+    of the smallest hashes; every row is then put into the cell of its nearest centre where it is read.
+    The sample also says into how many cells a query has to look: those that hold ``TARGET`` of the nearest
+    neighbours within the sample, which are farther off than those among all rows.
+    """
+    has = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
+    rows = vectors.where(has).select(F.col("id").cast("long").alias("id"), "v")
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    data = _unit(np.array(some.column("v").to_pylist(), np.float64)) if some.num_rows else np.zeros((0, 1))
+    centres = data[:: max(1, len(data) // cells)][:cells].copy()
+    for _ in range(rounds if len(data) else 0):
+        at = (data @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, data)
+        centres = np.where(np.bincount(at, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+    return VectorIndex(cut(_nearest_cells(rows, centres, 1, "cell")), centres, _probes(data, centres))
+
+
+def _probes(data: np.ndarray, centres: np.ndarray) -> int:
+    if len(data) < 2:
+        return 1
+    own = np.arange(0, len(data), max(1, len(data) // PROBE_QUERIES))
+    near = data[own] @ data.T
+    near[np.arange(len(own)), own] = -np.inf
+    n = min(PROBE_NEIGHBOURS, len(data) - 1)
+    neighbours = np.argpartition(-near, n - 1, axis=1)[:, :n]
+    cells = (data @ centres.T).argmax(axis=1)[neighbours]
+    places = np.argsort(np.argsort(-(data[own] @ centres.T), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(places, cells, axis=1), TARGET, method="higher")) + 1
+
+
+def search_index(index: VectorIndex, queries: DataFrame, n: int = 10, probes: int | None = None, with_self: bool = False) -> DataFrame:
+    """``nearest`` among the vectors of each query's ``probes`` nearest cells, the index's own number by default.
+
+    Approximate, unless all cells are probed; ``nearest`` itself is the exact way.
+    """
+    has = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
+    asked = _nearest_cells(queries.where(has).select("qid", "v"), index.centres, probes or index.probes, "cell")
+    return nearest(index.rows, asked, n, with_self, group="cell")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``n_queries, n_exact, recall``: the share of exact neighbours that a search found."""
+    hit = exact.join(found.select("qid", "id").withColumn("hit", F.lit(1)), ["qid", "id"], "left")
+    return hit.agg(
+        F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_exact"), F.round(F.count("hit") / F.count("*"), 6).alias("recall")
+    )
+
+
+def term_embedder(dims: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """The default embedder: ``id, text`` to ``id, v``, the number of a text's terms in each of ``dims`` buckets.
+
+    Any function of the same shape can be injected instead, such as one that runs a model in ``mapInArrow``.
+    """
+
+    def embed(rows: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("int"), F.lit(dims))
+        terms = rows.select("id", F.explode(words(F.col("text"))).alias("term"))
+        counted = terms.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        held = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
+        at = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at(F.col("held"), d), F.lit(0)).cast("float"))
+        return counted.groupBy("id").agg(held.alias("held")).select("id", at.alias("v"))
+
+    return embed
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators import evaluation, logs, memory, synthesis
-from fathomline.session import read, shared_dir
+from fathomline.session import read
 from fathomline.streaming import sessions, windows
 
 LENGTH, SLIDE, GAP = "1 hour", "15 minutes", "30 minutes"
@@ -44,27 +44,42 @@ def stream_session(spark, sf_dir):
 
 
 def stream_dedupe(spark, sf_dir):
-    """Events by their number, copies within a day dropped; numbers are unique, so all stay."""
-    stream = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = windows.deduplicated(stream, "ts", ["event_id"], "1 day").select("event_id", "user_id", "event_type")
-    return windows.run_to_end(out)
+    """Events by their number, copies within a day dropped: every third event arrives again in the same batch and once more later."""
+    rows = _events(spark, sf_dir)
+    again = rows.where(F.col("event_id") % 3 == 0)
+    run = lambda stream, base: windows.run_to_end(
+        windows.deduplicated(stream, "ts", ["event_id"], "1 day").select("event_id", "user_id", "event_type"), base=base
+    )
+    return windows.in_arrivals([rows.unionByName(again), again], run)
 
 
 def stream_upsert(spark, sf_dir):
-    """Messages merged into a stored table batch by batch: the last one written of each key stays."""
-    import uuid
+    """Messages merged into a stored table as they arrive in three parts out of order: the last one written of each key stays."""
+    rows = read(spark, sf_dir, "episodic_turns").select("session_id", "turn", "role", "id", "content")
+
+    def run(stream, base):
+        last = windows.upsert_stream(stream, f"{base}/rows", f"{base}/state", memory.merged)
+        return spark.read.schema(stream.schema).parquet(last)
+
+    return windows.in_arrivals([rows.where(F.pmod("id", F.lit(3)) == k) for k in (2, 0, 1)], run)
 
-    base = f"{shared_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    columns = ["session_id", "turn", "role", "id", "content"]
-    stream = _stream(spark, sf_dir, "episodic_turns").select(*columns)
-    last = windows.upsert_stream(stream, f"{base}/rows", f"{base}/state", memory.merged)
-    return spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema)
+
+#: The last turns of the parts in which sessions arrive, and the summaries that a second level replaces.
+ARRIVALS, MERGED = (8, 13, 18), 2
 
 
 def stream_summaries(spark, sf_dir):
-    """Summaries that fall due when all messages arrive at once."""
-    stream = _stream(spark, sf_dir, "episodic_turns").select("session_id", "turn")
-    return windows.run_to_end(sessions.summaries_due(stream))
+    """Summaries of both levels that fall due as sessions arrive in four parts."""
+    rows = read(spark, sf_dir, "episodic_turns").select("session_id", "turn")
+    bounds = [None, *ARRIVALS, None]
+    parts = []
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        keep = F.lit(True)
+        if low is not None:
+            keep = keep & ((F.col("turn") > low) | F.col("turn").isNull()) if high is None else keep & (F.col("turn") > low)
+        parts.append(rows.where(keep if high is None else keep & (F.col("turn") <= high)))
+    run = lambda stream, base: windows.run_to_end(sessions.summaries_due(stream, merge_at=MERGED), base=base)
+    return windows.in_arrivals(parts, run)
 
 
 def change_correlation(spark, sf_dir):
@@ -155,8 +170,20 @@ FROM events, (VALUES (0), (1), (2), (3)) AS t(i) GROUP BY 1, 2""",
     "stream_upsert": """SELECT session_id, turn, role, id, content FROM episodic_turns
 WHERE session_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY session_id, turn, role ORDER BY id DESC) = 1""",
-    "stream_summaries": """SELECT session_id, 1 AS level, 1 AS covers_start, max(turn) - 3 AS covers_end
-FROM episodic_turns WHERE session_id IS NOT NULL GROUP BY 1 HAVING max(turn) >= 8""",
+    "stream_summaries": f"""WITH RECURSIVE bounds(k, high) AS (VALUES {", ".join(f"({k}, {b})" for k, b in enumerate((*ARRIVALS, 2**31), 1))}),
+lasts AS (
+  SELECT session_id, k, greatest(coalesce(max(turn) FILTER (turn <= high), 0), 0) AS last FROM episodic_turns, bounds WHERE session_id IS NOT NULL GROUP BY 1, 2
+),
+state AS (
+  SELECT DISTINCT session_id, 0 AS k, 0 AS covered, 0 AS waiting, 1 AS start, false AS due, 0 AS first, 1 AS merged_from FROM lasts
+  UNION ALL
+  SELECT session_id, l.k, CASE WHEN last - covered >= 8 THEN last - 3 ELSE covered END,
+         CASE WHEN last - covered >= 8 THEN (waiting + 1) % {MERGED} ELSE waiting END,
+         CASE WHEN last - covered >= 8 AND waiting + 1 = {MERGED} THEN last - 2 ELSE start END, last - covered >= 8, covered + 1, start
+  FROM state s JOIN lasts l USING (session_id) WHERE l.k = s.k + 1
+)
+SELECT session_id, 1 AS level, first AS covers_start, covered AS covers_end FROM state WHERE due
+UNION ALL SELECT session_id, 2, merged_from, covered FROM state WHERE due AND waiting = 0""",
     "change_correlation": f"""WITH {_MARKED}, carried AS (
   SELECT *, last_value(mark IGNORE NULLS) OVER w AS mark_event_id, last_value(mark_us IGNORE NULLS) OVER w AS at_us FROM marked
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, mark IS NULL, event_id ROWS UNBOUNDED PRECEDING))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import words
 from fathomline.operators import chunking, retrieval
-from fathomline.session import cut, read
+from fathomline.session import once, read
 
-TOP, POOL, RRF_K, MIN_SCORE, BEST = 10, 50, 30, 0.05, 5
+TOP, POOL, RRF_K, MIN_SCORE, BEST = 10, 50, 30, 0.35, 5
+#: Dimensions of the default embedder.
+DIMS = 64
 #: Rows whose id this divides are the queries of a vector search, against all rows.
 EVERY = 20
 
@@ -36,11 +38,18 @@ def _docs(spark, sf_dir) -> DataFrame:
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The inverted index of the documents, written once, and its statistics."""
-    index = cut(retrieval.postings(_docs(spark, sf_dir), "id", "text"))
+    """The inverted index of the documents, stored and found again, and its statistics."""
+    docs = _docs(spark, sf_dir)
+    index = once("postings", docs, lambda: retrieval.postings(docs, "id", "text"))
     return index, retrieval.corpus_stats(index)
 
 
+def _keywords(spark, sf_dir, asked: DataFrame, n: int) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    placed = once("words", docs, lambda: retrieval.word_index(docs, tuple(retrieval.KEYWORD_WEIGHTS)))
+    return retrieval.keyword(docs, asked, n, placed)
+
+
 def term_stats(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return retrieval.term_stats(retrieval.postings(docs, "id", "text")).select("term", "df", "cf")
@@ -57,7 +66,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    return retrieval.keyword(_docs(spark, sf_dir), _queries(spark, sf_dir), BEST)
+    return _keywords(spark, sf_dir, _queries(spark, sf_dir), BEST)
 
 
 def document_bm25(spark, sf_dir):
@@ -67,12 +76,11 @@ def document_bm25(spark, sf_dir):
 
 
 def document_keywords(spark, sf_dir):
-    return retrieval.keyword(_docs(spark, sf_dir), _document_queries(spark, sf_dir), BEST)
+    return _keywords(spark, sf_dir, _document_queries(spark, sf_dir), BEST)
 
 
 def vector_topk(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+    rows, asked = _vectors(spark, sf_dir)
     return retrieval.nearest(rows, asked, TOP)
 
 
@@ -93,14 +101,14 @@ def vector_topk_filtered(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     index, stats = _index(spark, sf_dir)
     asked = _queries(spark, sf_dir)
-    lists = [retrieval.bm25(index, stats, asked, POOL), retrieval.keyword(_docs(spark, sf_dir), asked, POOL)]
+    lists = [retrieval.bm25(index, stats, asked, POOL), _keywords(spark, sf_dir, asked, POOL)]
     return retrieval.fused_ranks(lists, RRF_K, POOL)
 
 
 def document_fusion(spark, sf_dir):
     index, stats = _index(spark, sf_dir)
     asked = _document_queries(spark, sf_dir)
-    lists = [retrieval.bm25(index, stats, asked, POOL), retrieval.keyword(_docs(spark, sf_dir), asked, POOL)]
+    lists = [retrieval.bm25(index, stats, asked, POOL), _keywords(spark, sf_dir, asked, POOL)]
     return retrieval.fused_ranks(lists, RRF_K, POOL)
 
 
@@ -108,29 +116,54 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "kb_chunks").select("id", F.col("doc_id").alias("group_id"), "content")
 
 
-def hybrid_search(spark, sf_dir):
-    """Chunks for each query by terms and by vectors (bound by number), fused, reranked, one per document."""
+def _embedded_chunks(spark, sf_dir) -> DataFrame:
+    """``id, v`` of every chunk with terms, embedded once."""
     docs = _chunks(spark, sf_dir)
-    index = cut(retrieval.postings(docs, "id", "content"))
-    stats = retrieval.corpus_stats(index)
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = _queries(spark, sf_dir).join(vectors.withColumnRenamed("id", "qid"), "qid")
-    known = docs.select("id")
-    return retrieval.hybrid(
-        docs, index, stats, vectors.join(known, "id", "left_semi"), asked, POOL, RRF_K, MIN_SCORE, BEST
-    )
+    embed = retrieval.term_embedder(DIMS)
+    return once("chunk-vectors", docs, lambda: embed(docs.select("id", F.col("content").alias("text"))))
 
 
-def chunk_hybrid(spark, sf_dir):
-    """``hybrid_search`` for the title and the own vector of every twentieth chunk; without a vector, by terms alone."""
+def _hybrid(spark, sf_dir, queries: DataFrame) -> DataFrame:
     docs = _chunks(spark, sf_dir)
-    index = cut(retrieval.postings(docs, "id", "content"))
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = once("chunk-postings", docs, lambda: retrieval.postings(docs, "id", "content"))
+    vectors = retrieval.term_embedder(DIMS)(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")))
+    asked = queries.join(vectors.withColumnRenamed("id", "qid"), "qid", "left")
+    chunks = _embedded_chunks(spark, sf_dir)
+    return retrieval.hybrid(docs, index, retrieval.corpus_stats(index), chunks, asked, POOL, RRF_K, MIN_SCORE, BEST)
+
+
+def hybrid_search(spark, sf_dir):
+    """Chunks for each query by terms and by embedded texts, fused, reranked, one per document."""
+    return _hybrid(spark, sf_dir, _queries(spark, sf_dir))
+
+
+def chunk_hybrid(spark, sf_dir):
+    """``hybrid_search`` for the title of every twentieth chunk."""
     chunks = read(spark, sf_dir, "kb_chunks").where(F.col("id") % EVERY == 0)
-    asked = chunks.select(F.col("id").alias("qid"), _title_or_sentence("content").alias("query"))
-    asked = asked.join(vectors.withColumnRenamed("id", "qid"), "qid", "left")
-    known = vectors.join(docs.select("id"), "id", "left_semi")
-    return retrieval.hybrid(docs, index, retrieval.corpus_stats(index), known, asked, POOL, RRF_K, MIN_SCORE, BEST)
+    return _hybrid(spark, sf_dir, chunks.select(F.col("id").alias("qid"), _title_or_sentence("content").alias("query")))
+
+
+def chunk_vectors(spark, sf_dir):
+    """The embedded chunks: each bucket that isn't empty."""
+    rows = _embedded_chunks(spark, sf_dir).select("id", F.posexplode("v").alias("bucket", "n"))
+    return rows.where(F.col("n") > 0).withColumn("n", F.col("n").cast("long"))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rows, rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+
+
+def vector_index_topk(spark, sf_dir):
+    """``vector_topk`` by an index: the neighbours in each query's nearest cells."""
+    rows, asked = _vectors(spark, sf_dir)
+    return retrieval.search_index(retrieval.vector_index(rows), asked, TOP)
+
+
+def vector_index_recall(spark, sf_dir):
+    """The share of the exact neighbours that the index finds."""
+    rows, asked = _vectors(spark, sf_dir)
+    return retrieval.recall(vector_index_topk(spark, sf_dir), retrieval.nearest(rows, asked, TOP))
 
 
 def _gold(spark, sf_dir) -> DataFrame:
@@ -200,19 +233,26 @@ scores AS (
 bm25 AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM scores)"""
 
 
+def _embedded_sql(table: str, key: str, text: str) -> str:
+    bucket = f"CAST(('0x' || substr(md5(term), 1, 6)) AS INTEGER) % {DIMS}"
+    return f"""{table}_counted AS (
+  SELECT id, CAST({bucket} AS INTEGER) AS bucket, count(*) AS n FROM (SELECT {key} AS id, unnest({_words(text)}) AS term FROM {table}) GROUP BY 1, 2
+)"""
+
+
 _HITS = "len(list_filter(terms, lambda w: contains({0}, w)))"
 _KEYWORD = f"""
-termed AS MATERIALIZED (SELECT qid, list_distinct({_words("query")}) AS terms, {_words("query")}[1] AS term FROM queries),
+termed AS MATERIALIZED (SELECT qid, list_distinct({_words("query")}) AS terms, {_words("query")} AS said FROM queries),
 low AS (SELECT id, text, lower(coalesce(title, '')) AS t, lower(coalesce(category, '')) AS c, lower(coalesce(text, '')) AS x FROM docs),
 raw AS (
-  SELECT qid, id, text, term, 3 * {_HITS.format("t")} + {_HITS.format("x")} + CAST(0.5 AS DOUBLE) * {_HITS.format("c")} AS raw
+  SELECT qid, id, text, coalesce(list_filter(said, lambda w: contains(x, w))[1], '') AS term, 3 * {_HITS.format("t")} + {_HITS.format("x")} + CAST(0.5 AS DOUBLE) * {_HITS.format("c")} AS raw
   FROM low, termed
 ),
 keyword AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank
   FROM (SELECT qid, id, text, term, round(raw / (raw + 3), 3) AS score FROM raw WHERE raw > 0)
 )"""
-_SNIPPET = r"""trim(regexp_replace(CASE WHEN strpos(lower(text), term) > 0
+_SNIPPET = r"""trim(regexp_replace(CASE WHEN term <> '' AND strpos(lower(text), term) > 0
   THEN substr(text, greatest(strpos(lower(text), term) - 80, 1), strpos(lower(text), term) - greatest(strpos(lower(text), term) - 80, 1) + length(term) + 80)
   ELSE substr(text, 1, 120) END, '\s+', ' ', 'g'))"""
 _NEAR = """SELECT q.{0} AS qid, d.{0} AS id, abs(round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6)) AS distance
@@ -309,12 +349,18 @@ lists AS (
 ),
 fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 9) AS score, min(list * 1000 + rank) AS first FROM lists GROUP BY 1, 2)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS INTEGER) AS rank FROM fused QUALIFY rank <= {POOL}""",
-    "hybrid_search": f"""WITH queries AS (SELECT item_id AS qid, text AS query, embedding AS v FROM lang_reference JOIN embeddings ON vec_id = item_id WHERE text IS NOT NULL),
+    "chunk_vectors": f"""WITH chunks AS (SELECT id, content FROM kb_chunks), {_embedded_sql("chunks", "id", "content")}
+SELECT id, bucket, n FROM chunks_counted""",
+    "hybrid_search": f"""WITH {_QUERIES},
 chunks AS (SELECT id, doc_id AS group_id, content FROM kb_chunks), {_bm25_sql('chunks', 'content')},
+{_embedded_sql("chunks", "id", "content")}, {_embedded_sql("queries", "qid", "query")},
+chunk_norm AS (SELECT id, sqrt(sum(n * n)) AS size FROM chunks_counted GROUP BY 1),
+query_norm AS (SELECT id AS qid, sqrt(sum(n * n)) AS size FROM queries_counted GROUP BY 1),
+dots AS (SELECT q.id AS qid, c.id, sum(q.n * c.n) AS dot FROM queries_counted q JOIN chunks_counted c USING (bucket) GROUP BY 1, 2),
 near AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM (
-    SELECT qid, vec_id AS id, abs(round(list_cosine_distance(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6)) AS distance
-    FROM queries, embeddings SEMI JOIN chunks ON vec_id = chunks.id)
+    SELECT q.qid, c.id, abs(round(1 - coalesce(dot, 0) / (q.size * c.size), 6)) AS distance
+    FROM query_norm q CROSS JOIN chunk_norm c LEFT JOIN dots d ON d.qid = q.qid AND d.id = c.id)
 ),
 lists AS (
   SELECT qid, id, rank, 0 AS list FROM bm25 WHERE rank <= {POOL} UNION ALL SELECT qid, id, rank, 1 FROM near WHERE rank <= {POOL}
@@ -352,12 +398,7 @@ for _new, _old in (("document_bm25", "bm25_topk"), ("document_keywords", "keywor
     ORACLE[_new] = ORACLE[_old].replace(_QUERIES, _DOCUMENT_QUERIES).replace(
         "SELECT l.item_id AS qid, d.doc_id AS id", "SELECT l.doc_id AS qid, d.doc_id AS id"
     ).replace("FROM lang_reference l JOIN documents d ON d.lang = l.lang", f"FROM documents l JOIN documents d ON d.lang = l.lang WHERE l.doc_id % {EVERY} = 0")
-ORACLE["chunk_hybrid"] = (
-    ORACLE["hybrid_search"]
-    .replace(
-        "SELECT item_id AS qid, text AS query, embedding AS v FROM lang_reference JOIN embeddings ON vec_id = item_id WHERE text IS NOT NULL",
-        f"SELECT id AS qid, {_ASKED.format('content')}, embedding AS v FROM kb_chunks LEFT JOIN embeddings ON vec_id = id WHERE id % {EVERY} = 0",
-    )
-    .replace("ON vec_id = chunks.id)", "ON vec_id = chunks.id WHERE v IS NOT NULL)")
+ORACLE["chunk_hybrid"] = ORACLE["hybrid_search"].replace(
+    _QUERIES, f"queries AS (SELECT id AS qid, {_ASKED.format('content')} FROM kb_chunks WHERE id % {EVERY} = 0)"
 )
-QUERIES = {name: globals()[name] for name in ORACLE}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "vector_index_topk", "vector_index_recall"]}

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from hashlib import sha1
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which a helper table may be broadcast once it has been counted.
@@ -74,3 +77,22 @@ def cut(df: DataFrame, *partition_keys: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     (df.repartition(*partition_keys) if partition_keys else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from ``source``, written by the first caller in a session and read by the others.
+
+    Its place in the shared folder comes from ``name`` and the files of the
+    source, so a table that is written anew under the same files keeps what was made of it until the
+    session ends. A source without files is built each time.
+    """
+    files = source.inputFiles()
+    if not files:
+        return cut(build())
+    spark = source.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{sha1(repr(sorted(files)).encode()).hexdigest()}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not there yet
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)

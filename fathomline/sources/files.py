@@ -36,6 +36,11 @@ def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", schema: T.
     return reader.option("recursiveFileLookup", True).json(path)
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One line of JSON a row, as many files as there are partitions; nulls are written as such."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def dated_lines(spark: SparkSession, path: str, schema: T.StructType = RAW_LINE) -> DataFrame:
     """Lines below ``<env>/<source>/<topic>/<day>.jsonl``, with ``env``, ``topic`` and ``day`` from their paths; empty files give none."""
     place = r"([^/]+)/[^/]+/([^/]+)/(\d{4}-\d{2}-\d{2})\.jsonl$"

@@ -86,5 +86,28 @@ def test_as_of_agrees_with_validity(spark, days):
         for r in versions
         if r["valid_from_us"] <= at and (r["valid_to_us"] > at or r["valid_to_us"] == -1)
     }
-    got = {tuple(r) for r in history.as_of(log, at, every_us=20 * 86_400_000_000).collect()}
+    got = {tuple(r) for r in history.as_of(log, at, period_us=20 * 86_400_000_000).collect()}
     assert got == want
+
+
+def test_versions_are_stored_whole_and_read(spark):
+    day = 86_400_000_000
+    at = [T0 + dt.timedelta(days=d) for d in (0, 12, 25, 31, 65)]
+    rows = [(1, "u", "f", "a", at[0], 0, ""), (2, "u", "g", "x", at[1], 0, ""), (3, "u", "f", "a", at[2], 0, ""), (4, "u", "f", "b", at[3], 0, ""), (5, "v", "f", "c", at[4], 0, "")]
+    store = history.stored(spark.createDataFrame(rows, SCHEMA), period_us=10 * day)
+    start = micros(T0) // (10 * day)
+    versions = {(r["entity"], r["attribute"], r["version"] - start): (r["value"], r["since"], r["until"]) for r in store.versions.collect()}
+    # each version until the next change holds the attribute; what never changes again is there once
+    assert {k[2] for k in versions if k[:2] == ("u", "f")} == {1, 2, 3, 4} and {k[2] for k in versions if k[:2] == ("u", "g")} == {2}
+    assert versions["u", "f", 3] == ("a", micros(at[0]), micros(at[3])) and versions["u", "f", 4] == ("b", micros(at[3]), -1)
+    for d in (0.5, 11, 26, 32, 64, 66, 900):
+        moment = micros(T0) + int(d * day)
+        got = {tuple(r) for r in history.read_as_of(store, moment).collect()}
+        assert got == {
+            tuple(r)[:4] for r in history.folded(store).collect() if r["valid_from_us"] <= moment and (r["valid_to_us"] > moment or r["valid_to_us"] == -1)
+        }
+    # what is read comes from the stored rows: another version changes the answer
+    from pyspark.sql import functions as F
+
+    changed = store._replace(versions=store.versions.withColumn("value", F.concat("value", F.lit("!"))))
+    assert {r["value"] for r in history.read_as_of(changed, micros(at[4]) + 15 * day).collect()} == {"b!", "x!", "c!"}

@@ -150,3 +150,59 @@ def test_term_search_in_small_blocks_equals_brute_force(spark, monkeypatch):
         want = sorted(((-math.floor(v / (v + 3) * 1000 + 0.5) / 1000, i) for i, v in raw.items() if v))[:5]
         assert [got[q, k + 1] for k in range(len(want))] == [(i, -s) for s, i in want]
         assert (q, len(want) + 1) not in got
+
+
+def test_snippets_show_the_first_term_that_occurs(spark):
+    docs = spark.createDataFrame([(1, "", "", "x" * 200 + " lookup " + "y" * 200)], "id long, title string, category string, text string")
+    asked = spark.createDataFrame([(1, "dns lookup")], "qid int, query string")
+    assert "lookup" in retrieval.keyword(docs, asked, 5).first()["snippet"]
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    monkeypatch.setattr(retrieval, "BLOCKS_AT_ONCE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, "hot" if i % 3 else f"g{i % 5}", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, grp string, v array<float>")
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    got = {(r["qid"], r["rank"]): r["id"] for r in retrieval.nearest(vectors, asked, 3, group="grp").collect()}
+    monkeypatch.setattr(retrieval, "BLOCKS_AT_ONCE", 1000)
+    assert got == {(r["qid"], r["rank"]): r["id"] for r in retrieval.nearest(vectors, asked, 3, group="grp").collect()}
+    assert len(got) == 45
+
+
+def test_vector_index(spark):
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(40, 16))
+    data = middles[rng.integers(0, 40, 2000)] + 0.6 * rng.normal(size=(2000, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(9000, None), (9001, []), (9002, [0.0] * 16)]
+    vectors = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    index = retrieval.vector_index(vectors, cells=32, sample=500)
+    assert index.rows.count() == 2001  # every row with a vector, whether it was in the sample or not
+    exact = retrieval.nearest(vectors, asked, 10)
+    assert retrieval.recall(retrieval.search_index(index, asked, 10, probes=8), exact).first()["recall"] >= 0.9
+    assert retrieval.recall(retrieval.search_index(index, asked, 10, probes=32), exact).first()["recall"] == 1.0
+    none = vectors.limit(0)
+    assert retrieval.search_index(retrieval.vector_index(none), asked, 10).count() == 0
+
+
+def test_index_of_the_given_vectors_finds_nine_of_ten(spark):
+    from fathomline.plans import retrieval as plans
+
+    assert plans.vector_index_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
+
+
+def test_injected_embedder(spark):
+    from pyspark.sql import functions as F
+
+    chunks = spark.createDataFrame([(1, 1, "alpha"), (2, 2, "beta")], "id long, group_id long, content string")
+    index = retrieval.postings(chunks, "id", "content")
+    embed = lambda rows: rows.select("id", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    asked = spark.createDataFrame([(7, "gamma")], "qid long, query string")
+    vectors = embed(chunks.select("id", F.col("content").alias("text")))
+    queries = asked.join(embed(asked.select(F.col("qid").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "qid"), "qid")
+    got = retrieval.hybrid(chunks, index, retrieval.corpus_stats(index), vectors, queries, scorer=None).collect()
+    assert [(r["id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
+    words = retrieval.term_embedder(8)(chunks.select("id", F.col("content").alias("text"))).collect()
+    assert {(r["id"], len(r["v"]), sum(r["v"])) for r in words} == {(1, 8, 1.0), (2, 8, 1.0)}

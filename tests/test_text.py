@@ -70,8 +70,8 @@ def test_small_functions(spark):
 
 def test_snippets(spark):
     body = "x" * 200 + " needle " + "y" * 200
-    assert "needle" in one(spark, body, lambda c: text.snippet(c, F.lit("needle")))
-    assert one(spark, body, lambda c: text.snippet(c, F.lit("absent"))) == "x" * 120
+    assert "needle" in one(spark, body, lambda c: text.snippet(c, F.array(F.lit("absent"), F.lit("needle"))))
+    assert one(spark, body, lambda c: text.snippet(c, F.array(F.lit("absent")))) == "x" * 120
 
 
 def test_times(spark):
