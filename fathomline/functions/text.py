@@ -81,13 +81,14 @@ def caller_place(c: Column) -> Column:
 
 
 _EDGE = r"[^\p{L}\p{N}_]"
-#: Ordered masking rules; numbers have to stand free of letters and digits. Identity numbers come before phones.
+#: Ordered masking rules (fixed values); numbers have to stand free of letters and digits. Identity numbers come before phones.
 MASK_RULES = (
     (r"(https?://)[^:\s/@]+:[^@\s/]+@", "$1<CRED>@"),
     (rf"(^|{_EDGE})\d{{17}}[\dXx]($|{_EDGE})", "$1<ID_CARD>$2"),
     (rf"(^|{_EDGE})1[3-9]\d{{9}}($|{_EDGE})", "$1<PHONE>$2"),
     (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}", "<EMAIL>"),
 )
+#: A signed web token (fixed value).
 _JWT = r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators.ordered import running_sum
+
 #: Weights of tools, citations and conclusions by difficulty (fixed values); unknown difficulties count as easy.
 WEIGHTS = {"easy": (0.4, 0.3, 0.3), "medium": (0.2, 0.4, 0.4), "hard": (0.1, 0.4, 0.5)}
 
@@ -100,17 +102,37 @@ def forbidden_rate(runs: DataFrame, group: str, score: str, penalty: str) -> Dat
     )
 
 
+def _placed(rows: DataFrame, group: str, value: str, width: float) -> DataFrame:
+    """``group, value, _n, _upto, n``: distinct values with their counts, the values up to them, and all of their group.
+
+    Values are sorted within ranges of ``width`` only, so no group is ever put in order in one task. Rows without a value are left out.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    totals = counted.groupBy(group).agg(F.sum("_n").alias("n"))
+    return running_sum(counted, [group], value, F.col("_n"), width, "_upto").join(totals, group)
+
+
+def _at(place: Column, value: str) -> Column:
+    """The value at a place, counted from 0, as an aggregate over ``_placed``."""
+    return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col(value)))
+
+
+def medians(rows: DataFrame, group: str, value: str, width: float) -> DataFrame:
+    """The median of each group's values: the mean of the two in the middle."""
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    placed = _placed(rows, group, value, width)
+    return placed.groupBy(group).agg(F.round((_at(low, value) + _at(high, value)) / 2, 6).alias("median"))
+
+
 def volatility(runs: DataFrame, case: str, score: str) -> DataFrame:
     """Runs, median and range of each case's scores, and the class its range falls into."""
     spread = F.col("range")
+    stats = runs.groupBy(case).agg(
+        F.count("*").alias("n_runs"), F.count(score).alias("n_scored"), F.round(F.max(score) - F.min(score), 6).alias("range")
+    )
     return (
-        runs.groupBy(case)
-        .agg(
-            F.count("*").alias("n_runs"),
-            F.count(score).alias("n_scored"),
-            F.round(F.median(score), 6).alias("median"),
-            F.round(F.max(score) - F.min(score), 6).alias("range"),
-        )
+        stats.join(medians(runs, case, score, 0.05), case, "left")
+        .select(case, "n_runs", "n_scored", "median", "range")
         .withColumn(
             "class",
             F.when(F.col("n_scored") == 0, "all errors")
@@ -134,32 +156,28 @@ def retryable(error: Column, names: tuple[str, ...]) -> Column:
     return error.rlike("|".join(names)) | F.contains(F.lower(error), F.lit("timeout"))
 
 
-def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
+def latency_stats(rows: DataFrame, group: str, value: str, width: float = 1000) -> DataFrame:
     """Count, mean, median, deviation and range of a group's values."""
-    return rows.where(F.col(value) >= 0).groupBy(group).agg(
+    measured = rows.where(F.col(value) >= 0)
+    stats = measured.groupBy(group).agg(
         F.count("*").alias("n"),
         F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.median(value), 6).alias("median"),
         F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("deviation"),
         (F.max(value) - F.min(value)).alias("range"),
     )
+    return stats.join(medians(measured, group, value, width), group).select(group, "n", "mean", "median", "deviation", "range")
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """The value at place min(floor(n * share), n - 1), counted from 0, of each group.
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...], width: float = 1000) -> DataFrame:
+    """The value at place min(floor(n * share), n - 1), counted from 0, of each group."""
+    placed = _placed(rows.where(F.col(value) >= 0), group, value, width)
+    place = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    return placed.groupBy(group).agg(F.max("n").alias("n"), *[_at(place(x), value).alias(f"p{round(x * 100)}") for x in shares])
 
-    Values are counted before they are put in order, so a group's order has one row per distinct value.
-    """
-    counted = rows.where(F.col(value) >= 0).groupBy(group, value).agg(F.count("*").alias("_n"))
-    keys = Window.partitionBy(group)
-    upto = F.sum("_n").over(keys.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_upto", upto).withColumn("n", F.sum("_n").over(keys))
-    aggregates = []
-    for share in shares:
-        place = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
-        here = (F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)
-        aggregates.append(F.max(F.when(here, F.col(value))).alias(f"p{round(share * 100)}"))
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), *aggregates)
+
+def score_matrix(runs: DataFrame, case: str, run: str, score: str, names: list[str]) -> DataFrame:
+    """The mean score of each case in each of the named runs, as columns; null where a run has none."""
+    return runs.groupBy(case).pivot(run, names).agg(F.round(F.avg(score), 6))
 
 
 def histogram(rows: DataFrame, group: str, value: str, edges: list[float], stuck_from: int, most: float) -> DataFrame:

@@ -197,6 +197,24 @@ def within_cap(logs: DataFrame, most_bytes: int, keep_crossing: bool = True, wid
     return summed.where(fits)
 
 
+def cap_report(logs: DataFrame, most_bytes: int, most_rows: int, width: int = 50_000) -> DataFrame:
+    """Of each environment and ingestion day all rows and bytes, those within both caps, and whether a cap was met.
+
+    The row that crosses the cap of bytes is kept, as in ``within_cap``.
+    """
+    rows = logs.withColumn("day", F.to_date("ingested_at")).withColumn("bytes", F.coalesce(F.octet_length("msg"), F.lit(0)))
+    summed = running_sum(rows.select("env", "day", "seq", "bytes"), ["env", "day"], "seq", F.col("bytes"), width, "upto")
+    placed = running_sum(summed, ["env", "day"], "seq", F.lit(1), width, "place")
+    fits = (F.col("upto") - F.col("bytes") < most_bytes) & (F.col("place") <= most_rows)
+    return placed.groupBy("env", "day").agg(
+        F.count("*").alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.count_if(fits).alias("n_kept"),
+        F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0)).alias("bytes_kept"),
+        (F.count_if(fits) < F.count("*")).alias("capped"),
+    )
+
+
 def level_pivot(logs: DataFrame) -> DataFrame:
     """Lines of each service by level, as columns."""
     return (

@@ -170,7 +170,7 @@ def latest(versions: DataFrame, keys: list[str], at: str = "created_at", order:
 
 
 def newest(versions: DataFrame, keys: list[str], n: int, at: str = "created_at", order: str = "id") -> DataFrame:
-    """The n newest versions of each key, numbered from 1."""
+    """The n newest versions of each key, numbered from 1. Spark keeps n of each key in every task before it shuffles them."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(order).desc()))
     return versions.withColumn("place", place).where(F.col("place") <= n)
 

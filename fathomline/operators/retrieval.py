@@ -6,6 +6,7 @@ them in one job. Ties are broken by id, so ranks are the same in every run.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -423,6 +424,26 @@ def fused_ranks(lists: list[DataFrame], k: int = 30, n: int = 50) -> DataFrame:
     return fused(lists, k).withColumn("rank", place).where(F.col("rank") <= n).select("qid", "id", "score", "rank")
 
 
+def or_else(search: Callable[[], DataFrame], other: Callable[[], DataFrame]) -> DataFrame:
+    """What a search gives, or another one's rows if it fails, for example as its model can't be reached. Failures are logged."""
+    try:
+        return search()
+    except Exception as failure:  # noqa: BLE001
+        logging.getLogger(__name__).warning("search failed, falling back: %s", str(failure)[:200])
+        return other()
+
+
+def recalled(lists: list[DataFrame], names: list[str]) -> DataFrame:
+    """``qid``, ``n_`` and the name of each list for what it recalls, and ``n_several`` for what more than one does."""
+    rows = None
+    for name, one in zip(names, lists, strict=True):
+        part = one.select("qid", "id", F.lit(name).alias("list"))
+        rows = part if rows is None else rows.unionByName(part)
+    of = [F.count_if(F.array_contains("lists", name)).alias(f"n_{name}") for name in names]
+    per_hit = rows.groupBy("qid", "id").agg(F.collect_set("list").alias("lists"))
+    return per_hit.groupBy("qid").agg(*of, F.sum(F.size("lists") - 1).alias("n_several"))
+
+
 def overlap_scorer(query: Column, content: Column) -> Column:
     """The default reranker: the share of a query's terms that a text has."""
     terms, have = F.array_distinct(words(query)), F.array_distinct(words(content))
@@ -501,3 +522,9 @@ def ir_metrics(ranked: DataFrame, gold: DataFrame, k: int = 5, asked: DataFrame
             F.round(F.coalesce(F.col("dcg") / F.col("ideal"), zero), 6).alias("ndcg"),
         )
     )
+
+
+def averaged(metrics: DataFrame) -> DataFrame:
+    """One row: the number of queries and the means of their metrics."""
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return metrics.agg(F.count("*").alias("n_queries"), mean("recall", "recall"), mean("rr", "mrr"), mean("ndcg", "ndcg"))

@@ -14,7 +14,7 @@ SERVICE, KEYWORD, TOUCHED = "Harbor-Gateway ", "timed out", "quay-ledger"
 KEEP_WORDS = ("lease", "finished")
 ANCHOR, MINUTES = "2026-03-15T12:00:00Z", 240
 SPLIT_DAY = "2026-03-16"
-MOST_BYTES = 10_000
+MOST_BYTES, MOST_ROWS = 10_000, 40
 ENVIRONMENTS = ("default", "edge")
 SHARES = (0.5, 0.9, 0.99)
 EDGES = (10.0, 50.0, 100.0, 500.0, 1000.0, 5000.0)
@@ -118,6 +118,11 @@ def running_cap(spark, sf_dir):
     return kept.select("seq", "env", F.date_format("day", "yyyy-MM-dd").alias("day"), "bytes", "upto")
 
 
+def cap_report(spark, sf_dir):
+    rows = _logs(spark, sf_dir).where(F.col("ingested_at").isNotNull())
+    return logs.cap_report(rows, MOST_BYTES, MOST_ROWS).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def level_pivot(spark, sf_dir):
     return logs.level_pivot(_logs(spark, sf_dir))
 
@@ -315,6 +320,14 @@ FROM spread GROUP BY 1, 2""",
          CAST(sum(octet_length(encode(msg))) OVER (PARTITION BY env, CAST(ingested_at AS DATE) ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM logs WHERE ingested_at IS NOT NULL)
 SELECT * FROM summed WHERE upto - bytes < {MOST_BYTES}""",
+    "cap_report": f"""WITH {_LOGS}, summed AS (
+  SELECT env, strftime(ingested_at, '%Y-%m-%d') AS day, coalesce(octet_length(encode(msg)), 0) AS bytes,
+         sum(coalesce(octet_length(encode(msg)), 0)) OVER (PARTITION BY env, CAST(ingested_at AS DATE) ORDER BY seq ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (PARTITION BY env, CAST(ingested_at AS DATE) ORDER BY seq) AS place
+  FROM logs WHERE ingested_at IS NOT NULL),
+fitted AS (SELECT *, upto - bytes < {MOST_BYTES} AND place <= {MOST_ROWS} AS fits FROM summed)
+SELECT env, day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (fits) AS n_kept,
+       CAST(coalesce(sum(bytes) FILTER (fits), 0) AS BIGINT) AS bytes_kept, count(*) FILTER (fits) < count(*) AS capped FROM fitted GROUP BY 1, 2""",
     "level_pivot": f"""WITH {_LOGS}
 SELECT service, count(*) FILTER (level = 'DEBU') AS "DEBU", count(*) FILTER (level = 'INFO') AS "INFO",
        count(*) FILTER (level = 'WARN') AS "WARN", count(*) FILTER (level = 'ERRO') AS "ERRO", count(*) FILTER (level = 'FATA') AS "FATA"

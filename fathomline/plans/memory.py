@@ -11,7 +11,8 @@ from fathomline.session import read, spread
 
 KEEP, SPAN = 3, 4
 NEWEST = 3
-EXPECTED = (("search_logs", "trace_lookup"), ("kb_search", "search_sop"))
+#: Tools that are expected, and what their arguments have to hold.
+EXPECTED = ((("search_logs", "trace_lookup"), {}), (("kb_search", "search_sop"), {"minutes": "5"}))
 KEYWORDS = ("error", "restart", "lease", "重启", "错误")
 FORBIDDEN = ("without any warning", "没有任何征兆")
 
@@ -131,20 +132,23 @@ def _scored(spark, sf_dir) -> DataFrame:
         "id", "session_id", "turn", F.coalesce("content", F.lit("")).alias("answer"),
         F.filter(F.from_json("tool_calls", memory.TOOL_CALLS), lambda c: c["tool_name"].isNotNull()).alias("calls"),
     )
-    rows = rows.where(F.size("calls") > 0)
+    # what the user of the same turn refers to counts as a citation as well
+    asked = read(spark, sf_dir, "episodic_turns").where((F.col("role") == "user") & F.col("session_id").isNotNull() & F.col("turn").isNotNull())
+    said = asked.groupBy("session_id", "turn").agg(F.max_by(F.coalesce("content", F.lit("")), "id").alias("asked"))
+    rows = rows.where(F.size("calls") > 0).join(said, ["session_id", "turn"], "left")
     actual = F.transform("calls", lambda c: F.struct(c["tool_name"].alias("tool_name"), c["args"].alias("args")))
-    nothing = F.create_map().cast("map<string,string>")
-    wanted = F.array(*[F.struct(F.array(*map(F.lit, t)).alias("tools"), nothing.alias("args")) for t in EXPECTED])
+    args = lambda a: F.create_map(*[F.lit(x) for pair in a.items() for x in pair]).cast("map<string,string>")
+    wanted = F.array(*[F.struct(F.array(*map(F.lit, t)).alias("tools"), args(a).alias("args")) for t, a in EXPECTED])
     services = F.array_distinct(
         F.array_compact(F.transform("calls", lambda c: F.try_element_at(c["args"], F.lit("service"))))
     )
     listed = lambda xs: F.array(*map(F.lit, xs))
     difficulty = F.element_at(listed(("easy", "medium", "hard")), (F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3)) + 1).cast("int"))
-    none = F.array().cast("array<string>")
+    refs = text.references(F.col("asked"), (r"[a-z]+-[a-z]+(?:@\d+\.\d+\.\d+)?",))
     return rows.select(
         "id", "session_id", difficulty.alias("difficulty"),
         evaluation.tool_score(actual, wanted).alias("tool"),
-        evaluation.citation_score(F.col("answer"), none, services).alias("cite"),
+        evaluation.citation_score(F.col("answer"), refs, services).alias("cite"),
         evaluation.conclusion_score(F.col("answer"), listed(KEYWORDS), F.lit(2)).alias("conclusion"),
         evaluation.forbidden_penalty(F.col("answer"), listed(FORBIDDEN)).alias("penalty"),
     ).withColumn(
@@ -167,6 +171,12 @@ def forbidden_rate(spark, sf_dir):
     return evaluation.forbidden_rate(_scored(spark, sf_dir), "difficulty", "total", "penalty")
 
 
+def score_matrix(spark, sf_dir):
+    """Mean scores of sessions by difficulty."""
+    rows = _scored(spark, sf_dir).where(F.col("session_id").isNotNull())
+    return evaluation.score_matrix(rows, "session_id", "difficulty", "total", ["easy", "medium", "hard"])
+
+
 def volatility(spark, sf_dir):
     return evaluation.volatility(_scored(spark, sf_dir).where(F.col("session_id").isNotNull()), "session_id", "total")
 
@@ -186,8 +196,8 @@ def fan_out_gather(spark, sf_dir):
 
 def ulid_decode(spark, sf_dir):
     """The moment in each time-ordered identifier that a message refers to."""
-    found = F.regexp_extract("content", "(01[0-9A-HJKMNP-TV-Z]{24})", 1)
-    rows = read(spark, sf_dir, "episodic_turns").select("id", found.alias("ulid")).where(F.col("ulid") != "")
+    found = F.array_distinct(F.regexp_extract_all("content", F.lit("01[0-9A-HJKMNP-TV-Z]{24}"), F.lit(0)))
+    rows = read(spark, sf_dir, "episodic_turns").select("id", F.explode(found).alias("ulid"))
     return rows.withColumn("ms", text.ulid_millis(F.col("ulid")))
 
 
@@ -255,15 +265,21 @@ _FOLD = (
 _STATED = f"stated AS (SELECT {_FOLD.replace('{0}', 'user_id')} AS user_id, {_FOLD.replace('{0}', 'field')} AS field, value, id, created_at FROM profile WHERE created_at IS NOT NULL)"
 _CALLS = """parsed AS (
   SELECT id, session_id, turn, coalesce(content, '') AS answer,
-         from_json(tool_calls, '[{"tool_name":"VARCHAR","args":{"service":"VARCHAR"},"success":"BOOLEAN","latency_ms":"BIGINT"}]') AS calls
+         from_json(tool_calls, '[{"tool_name":"VARCHAR","args":{"service":"VARCHAR","minutes":"VARCHAR"},"success":"BOOLEAN","latency_ms":"BIGINT"}]') AS calls
   FROM episodic_turns WHERE json_valid(tool_calls) AND json_type(tool_calls) = 'ARRAY'
 ),
 calls AS (SELECT id, session_id, unnest(calls, max_depth := 2) FROM parsed)"""
 _KEYWORD_HITS = " + ".join(f"CAST(contains(lower(answer), '{k}') AS INTEGER)" for k in KEYWORDS)
 _FORBIDDEN_HITS = " + ".join(f"CAST(contains(lower(answer), '{k}') AS INTEGER)" for k in FORBIDDEN)
 _SCORED = f"""{_CALLS},
+said AS (
+  SELECT session_id, turn, arg_max(coalesce(content, ''), id) AS asked FROM episodic_turns
+  WHERE role = 'user' AND session_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+),
 messages AS (
-  SELECT id, session_id, turn, answer, list_filter(calls, lambda c: c.tool_name IS NOT NULL) AS calls FROM parsed
+  SELECT id, session_id, turn, answer, list_filter(calls, lambda c: c.tool_name IS NOT NULL) AS calls,
+         list_distinct(regexp_extract_all(coalesce(asked, ''), '[a-z]+-[a-z]+(?:@\\d+\\.\\d+\\.\\d+)?')) AS refs
+  FROM parsed LEFT JOIN said USING (session_id, turn)
 ),
 based AS (
   SELECT *, list_distinct(list_filter(list_transform(calls, lambda c: c.args.service), lambda s: s IS NOT NULL)) AS services,
@@ -272,8 +288,8 @@ based AS (
 ),
 parts AS (
   SELECT id, session_id, ['easy', 'medium', 'hard'][((coalesce(turn, 0) % 3) + 3) % 3 + 1] AS difficulty,
-         (CAST(list_has_any(tools, ['search_logs', 'trace_lookup']) AS INTEGER) + CAST(list_has_any(tools, ['kb_search', 'search_sop']) AS INTEGER)) / 2 AS tool,
-         CASE WHEN len(services) = 0 THEN 1.0 ELSE len(list_filter(services, lambda s: contains(lower(answer), lower(s)))) / len(services) END AS cite,
+         (CAST(list_has_any(tools, ['search_logs', 'trace_lookup']) AS INTEGER) + CAST(len(list_filter(calls, lambda c: c.tool_name IN ('kb_search', 'search_sop') AND contains(coalesce(c.args.minutes, ''), '5'))) > 0 AS INTEGER)) / 2 AS tool,
+         CASE WHEN len(services) = 0 THEN 1.0 ELSE len(list_filter(services, lambda s: contains(lower(answer), lower(s)) OR len(list_filter(refs, lambda r: contains(lower(r), lower(s)))) > 0)) / len(services) END AS cite,
          CASE WHEN answer = '' THEN 0.0 ELSE least(({_KEYWORD_HITS}) / 2, 1.0) END AS conclusion,
          least(({_FORBIDDEN_HITS}) * CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE)) AS penalty
   FROM based
@@ -345,6 +361,9 @@ SELECT difficulty, count(*) AS n, round(avg(total), 6) AS mean_score, round(avg(
        arg_min(id, (total, id)) AS worst_case FROM scored GROUP BY 1""",
     "forbidden_rate": f"""WITH {_SCORED}
 SELECT difficulty, count(*) AS n, round(avg(CAST(penalty > 0 AS INTEGER)), 6) AS forbidden_rate FROM scored GROUP BY 1""",
+    "score_matrix": f"""WITH {_SCORED}
+SELECT session_id, {", ".join(f"round(avg(total) FILTER (difficulty = '{d}'), 6) AS {d}" for d in ("easy", "medium", "hard"))}
+FROM scored WHERE session_id IS NOT NULL GROUP BY 1""",
     "volatility": f"""WITH {_SCORED}, spread AS (
   SELECT session_id, count(*) AS n_runs, count(total) AS n_scored, round(median(total), 6) AS median, round(max(total) - min(total), 6) AS range
   FROM scored WHERE session_id IS NOT NULL GROUP BY 1)
@@ -354,9 +373,9 @@ FROM spread""",
   SELECT session_id, tool_name, count(*) AS confidence FROM calls WHERE session_id IS NOT NULL AND tool_name IS NOT NULL GROUP BY 1, 2),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tool_name) AS ord FROM used QUALIFY ord <= 3)
 SELECT session_id AS run_id, count(*) AS n, string_agg(tool_name || '=' || confidence, ' | ' ORDER BY confidence DESC, ord) AS summary FROM chosen GROUP BY 1""",
-    "ulid_decode": f"""WITH found AS (SELECT id, regexp_extract(content, '(01[0-9A-HJKMNP-TV-Z]{{24}})', 1) AS ulid FROM episodic_turns)
+    "ulid_decode": f"""WITH found AS (SELECT id, unnest(list_distinct(regexp_extract_all(content, '01[0-9A-HJKMNP-TV-Z]{{24}}'))) AS ulid FROM episodic_turns)
 SELECT id, ulid, CAST(list_sum(list_transform(range(1, 11), lambda i: (instr('{text.CROCKFORD}', substr(ulid, CAST(i AS INTEGER), 1)) - 1) * pow(32, 10 - i))) AS BIGINT) AS ms
-FROM found WHERE ulid <> ''""",
+FROM found""",
     "mask_rules": f"SELECT id, {_mask_sql('content')} AS masked FROM episodic_turns",
     "mask_twice": f"""WITH once AS (SELECT {_mask_sql('content')} AS m FROM episodic_turns WHERE content IS NOT NULL)
 SELECT count(*) AS n, count(*) FILTER ({_mask_sql('m')} <> m) AS changed FROM once""",

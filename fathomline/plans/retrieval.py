@@ -143,6 +143,15 @@ def chunk_hybrid(spark, sf_dir):
     return _hybrid(spark, sf_dir, chunks.select(F.col("id").alias("qid"), _title_or_sentence("content").alias("query")))
 
 
+def hybrid_recalled(spark, sf_dir):
+    """How many chunks each search of ``hybrid_search`` recalls for a query, and how many both do."""
+    docs, asked = _chunks(spark, sf_dir), _queries(spark, sf_dir)
+    index = once("chunk-postings", docs, lambda: retrieval.postings(docs, "id", "content"))
+    vectors = retrieval.term_embedder(DIMS)(asked.select(F.col("qid").alias("id"), F.col("query").alias("text")))
+    near = retrieval.nearest(_embedded_chunks(spark, sf_dir), vectors.withColumnRenamed("id", "qid"), POOL, with_self=True)
+    return retrieval.recalled([retrieval.bm25(index, retrieval.corpus_stats(index), asked, POOL), near], ["terms", "vectors"])
+
+
 def chunk_vectors(spark, sf_dir):
     """The embedded chunks: each bucket that isn't empty."""
     rows = _embedded_chunks(spark, sf_dir).select("id", F.posexplode("v").alias("bucket", "n"))
@@ -177,6 +186,11 @@ def ir_metrics(spark, sf_dir):
     return retrieval.ir_metrics(bm25_topk(spark, sf_dir), _gold(spark, sf_dir), BEST)
 
 
+def ir_metrics_mean(spark, sf_dir):
+    """The metrics of ``ir_metrics``, averaged over all queries."""
+    return retrieval.averaged(ir_metrics(spark, sf_dir))
+
+
 def document_ir_metrics(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where(F.col("lang").isNotNull())
     asked = docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.col("lang").alias("label"))
@@ -373,6 +387,7 @@ judged AS (
 ),
 best AS (SELECT * FROM judged WHERE score >= {MIN_SCORE} QUALIFY row_number() OVER (PARTITION BY qid, group_id ORDER BY score DESC, rank) = 1)
 SELECT qid, group_id, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best.rank) <= {BEST}""",
+    "hybrid_recalled": "",
     "ir_metrics": f"""WITH {_QUERIES}, {_DOCS}, {_bm25_sql('docs', 'text')},
 gold AS (
   SELECT l.item_id AS qid, d.doc_id AS id, CASE WHEN d.n_chars < 800 THEN 2 ELSE 1 END AS rel FROM lang_reference l JOIN documents d ON d.lang = l.lang
@@ -401,4 +416,9 @@ for _new, _old in (("document_bm25", "bm25_topk"), ("document_keywords", "keywor
 ORACLE["chunk_hybrid"] = ORACLE["hybrid_search"].replace(
     _QUERIES, f"queries AS (SELECT id AS qid, {_ASKED.format('content')} FROM kb_chunks WHERE id % {EVERY} = 0)"
 )
+_recalled, _, _ = ORACLE["hybrid_search"].partition(",\nfused AS (")
+ORACLE["hybrid_recalled"] = f"""{_recalled}
+SELECT qid, count(*) FILTER (list = 0) AS n_terms, count(*) FILTER (list = 1) AS n_vectors, count(*) - count(DISTINCT id) AS n_several FROM lists GROUP BY 1"""
+ORACLE["ir_metrics_mean"] = f"""SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg
+FROM ({ORACLE["ir_metrics"]})"""
 QUERIES = {name: globals()[name] for name in [*ORACLE, "vector_index_topk", "vector_index_recall"]}

@@ -67,24 +67,39 @@ class SearchDocuments:
     query: str
     top_k: int = 5
     mode: str = "terms"
+    embed: Callable[[DataFrame], DataFrame] = retrieval.term_embedder()
 
     def __post_init__(self) -> None:
         if not self.query.strip():
             raise ValueError("query must be given")
         _between("top_k", self.top_k, 1, 20)
-        if self.mode not in ("terms", "keyword"):
-            raise ValueError("mode must be 'terms' or 'keyword'")
+        if self.mode not in ("hybrid", "terms", "keyword"):
+            raise ValueError("mode must be 'hybrid', 'terms' or 'keyword'")
 
     def plan(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = read(spark, sf_dir, "kb_chunks").select("id", "title", "category", F.col("content").alias("text"))
         asked = spark.createDataFrame([(1, self.query)], "qid int, query string")
         if self.mode == "keyword":
             return retrieval.keyword(docs, asked, self.top_k)
+        if self.mode == "hybrid":
+            return retrieval.or_else(lambda: self._hybrid(docs, asked), lambda: retrieval.keyword(docs, asked, self.top_k))
         index = cut(retrieval.postings(docs, "id", "text"))
         found = retrieval.bm25(index, retrieval.corpus_stats(index), asked, self.top_k)
         return found.join(docs.select("id", "title", "text"), "id").orderBy("rank")
 
 
+    def _hybrid(self, docs: DataFrame, asked: DataFrame) -> DataFrame:
+        """By terms and by vectors of ``embed``; written, so that a failure shows here."""
+        texts = docs.select("id", "text")
+        index = cut(retrieval.postings(texts, "id", "text"))
+        vectors = self.embed(asked.select(F.col("qid").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "qid")
+        chunks = texts.select("id", F.col("id").alias("group_id"), F.col("text").alias("content"))
+        found = retrieval.hybrid(
+            chunks, index, retrieval.corpus_stats(index), cut(self.embed(texts)), asked.join(vectors, "qid", "left"), top_k=self.top_k
+        )
+        return cut(found.select("qid", "id", "score", "rank").join(docs.select("id", "title", "text"), "id").orderBy("rank"))
+
+
 @dataclass(frozen=True)
 class ServiceMetrics:
     service: str

@@ -45,6 +45,12 @@ def test_tools_check_their_arguments(spark, sf_dir):
     assert tools.run(spark, sf_dir, "trace_query", trace_id=first["trace_id"]).count() == first["n_spans"]
     assert tools.run(spark, sf_dir, "search_documents", query="token cache").count() == 5
     assert tools.run(spark, sf_dir, "search_documents", query="token cache", mode="keyword").count() == 5
+    assert "title" in tools.run(spark, sf_dir, "search_documents", query="token cache", mode="hybrid").columns
+
+    def broken(rows):
+        raise ConnectionError("no model")
+
+    assert "snippet" in tools.run(spark, sf_dir, "search_documents", query="token cache", mode="hybrid", embed=broken).columns
     assert set(tools.run(spark, sf_dir, "service_metrics", service="harbor-gateway", metrics=("n", "odd")).columns) == {"service", "start_ms", "n", "truncated"}
 
 
