@@ -76,13 +76,24 @@ def _key(name: str) -> Column:
 
 
 def _changes(patch: DataFrame) -> DataFrame:
-    """Per period, the patches that differ from the one before them; the period's first is always kept."""
+    """Per period, the patches that differ from the one before them; the period's first is always kept.
+
+    The first one also carries ``run``: when the second and the last change of its period are, and to what the last is.
+    """
     within = Window.partitionBy("entity", "attribute", "period").orderBy("ts")
+    all_of = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = F.struct(
+        F.min(F.when(~F.col("first"), F.col("ts"))).over(all_of).alias("second_ts"),
+        F.max("ts").over(all_of).alias("last_ts"),
+        F.last("value").over(all_of).alias("last_value"),
+    )
     return (
         patch.withColumn("_before", F.lag("value").over(within))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("value")))
         .withColumn("first", F.col("_before").isNull())
         .drop("_before")
+        .withColumn("run", run)
+        .withColumn("run", F.when(F.col("first"), F.col("run")))
     )
 
 
@@ -95,12 +106,8 @@ def _versions(changes: DataFrame, period_us: int, at_us: int | None) -> DataFram
     only the version nearest before that moment is made.
     """
     keys = ["entity", "attribute"]
-    runs = changes.groupBy(*keys, "period").agg(
-        F.min("ts").alias("first_ts"),
-        F.min_by("value", "ts").alias("first_value"),
-        F.min(F.when(~F.col("first"), F.col("ts"))).alias("second_ts"),
-        F.max("ts").alias("last_ts"),
-        F.max_by("value", "ts").alias("value"),
+    runs = changes.where("first").select(
+        *keys, "period", F.col("ts").alias("first_ts"), F.col("value").alias("first_value"), "run.second_ts", "run.last_ts", F.col("run.last_value").alias("value")
     )
     forward = Window.partitionBy(*keys).orderBy("period")
     later = forward.rowsBetween(1, Window.unboundedFollowing)
