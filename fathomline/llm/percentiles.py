@@ -29,16 +29,18 @@ group of one value has it as all its percentiles; an empty table has no group.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.functions.text import fold_key
 from fathomline.operators.ordered import running_sum
-from fathomline.session import BROADCAST_ROWS, cut
+from fathomline.session import BROADCAST_ROWS, cut, shared_dir
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 #: Candidates up to which a search is closed by putting them in order.
@@ -199,6 +201,32 @@ def _moved(candidates: DataFrame, outcome: DataFrame, small: bool) -> DataFrame:
     return moved.where(F.col("search").isNotNull())
 
 
+def _sides(outcome: DataFrame) -> DataFrame:
+    """The searches that go on."""
+    sides = F.explode(F.array_compact(F.array("below", "above"))).alias("s")
+    return outcome.select("root", sides).select("s.search", "root", "s.left", "s.ranks")
+
+
+class _Rounds:
+    """The tables of all rounds below one place in the shared folder, so that all rounds' rows can be read at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.place = f"{shared_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self.schemas: dict[str, StructType] = {}
+        self.number = 0
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        self.schemas[name] = rows.schema
+        self.number += 1
+        path = f"{self.place}/{name}/part={self.number}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def all(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.place}/{name}").select(*self.schemas[name].names)
+
+
 def _closed(candidates: DataFrame, state: DataFrame) -> DataFrame:
     """``root, percentile, value`` of the searches whose few candidates are put in order."""
     upto = F.sum("n").over(Window.partitionBy("search").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
@@ -232,21 +260,21 @@ def select(
     )
     # a group's ranks lie in at most as many searches as there are percentiles
     small = groups.count() * len(percentiles) <= BROADCAST_ROWS
-    state = groups.select("search", F.col("search").alias("root"), "left", "ranks")
-    candidates = _with_state(base.select("search", "value", "n"), groups.select("search", "left"), small)
-    found = []
-    while True:
-        few = F.col("left") <= last_values
-        found.append(_closed(candidates.where(few), state.where(few)))
-        if state.where(~few).isEmpty():
-            break
-        outcome = cut(_round(candidates.where(~few), state.where(~few), small))
-        found.append(outcome.select("root", F.explode("hit").alias("percentile"), F.col("pivot").alias("value")))
-        candidates = cut(_moved(candidates.where(~few), outcome, small))
-        sides = F.explode(F.array_compact(F.array("below", "above"))).alias("s")
-        state = outcome.select("root", sides).select("s.search", "root", "s.left", "s.ranks")
-    values = found[0]
-    for more in found[1:]:
-        values = values.unionByName(more)
+    first = _with_state(base.select("search", "value", "n"), groups.select("search", "left"), small)
+    start = groups.select("search", F.col("search").alias("root"), "left", "ranks")
+    rounds = _Rounds(base.sparkSession)
+    few = F.col("left") <= last_values
+    candidates, state = first, start
+    while not state.where(~few).isEmpty():
+        outcome = rounds.written(_round(candidates.where(~few), state.where(~few), small), "outcomes")
+        candidates = rounds.written(_moved(candidates.where(~few), outcome, small), "candidates")
+        state = _sides(outcome)
+    if rounds.schemas:
+        outcomes = rounds.all("outcomes")
+        rest, states = first.unionByName(rounds.all("candidates")), start.unionByName(_sides(outcomes))
+        hits = outcomes.select("root", F.explode("hit").alias("percentile"), F.col("pivot").alias("value"))
+        values = _closed(rest.where(few), states.where(few)).unionByName(hits)
+    else:
+        values = _closed(first, start)
     named = groups.select(F.col("search").alias("root"), *keys, F.col("total").alias("n_values"))
     return named.join(values, "root").select(*keys, "percentile", "value", "n_values")
