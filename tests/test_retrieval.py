@@ -206,3 +206,50 @@ def test_injected_embedder(spark):
     assert [(r["id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
     words = retrieval.term_embedder(8)(chunks.select("id", F.col("content").alias("text"))).collect()
     assert {(r["id"], len(r["v"]), sum(r["v"])) for r in words} == {(1, 8, 1.0), (2, 8, 1.0)}
+
+
+def _some_documents(spark):
+    rng = np.random.default_rng(5)
+    parts = ["dns", "dn", "lookup", "look", "锁", "token_x", "x", "reef", "cache锁x", "4", "1648"]
+    text = lambda n: " ".join(parts[i] for i in rng.integers(0, len(parts), n))
+    docs = spark.createDataFrame([(i, text(i % 3), text(i % 9) or None, text(1)) for i in range(90)], "id long, title string, text string, category string")
+    asked = [text(1 + q % 4) for q in range(8)]
+    return docs, spark.createDataFrame([(q, asked[q % 8]) for q in range(200)] + [(900, ""), (901, None)], "qid long, query string")
+
+
+def test_equal_queries_are_searched_once_and_all_answered(spark):
+    docs, queries = _some_documents(spark)
+    asked = retrieval.distinct_queries(queries)
+    assert len(asked.qids) <= 8 and asked.frame.count() == 200
+    placed = retrieval.word_index(docs, tuple(retrieval.KEYWORD_WEIGHTS))
+    assert retrieval._keyword_ranks(placed, asked, 5).select("qid").distinct().count() <= 8
+    got = {}
+    for r in retrieval.keyword(docs, queries, 5, placed).collect():
+        got.setdefault(r["qid"], set()).add(tuple(r)[1:])
+    assert set(got) == set(range(200)) and all(got[q] == got[q % 8] for q in got)
+
+
+def test_ties_go_to_the_smaller_id_in_any_order_of_blocks():
+    asked = retrieval.Asked(np.array([7]), np.array([1]), np.array([0]), ["a"], None)
+    score, least = retrieval._BM25_SCORE[1:]
+    winners = retrieval._Winners(asked, 2, np.float64, score, least)
+    for ids, sums in (([50, 60], [1.0, 1.0]), ([10, 70], [1.0 - 1e-9, 1.0]), ([20, 30], [0.5, 2.0])):
+        winners.add(np.array(ids), np.zeros(2, int), np.arange(2), np.array(sums))
+    (got,) = winners.batches()
+    assert got.to_pydict() == {"qid": [7, 7], "id": [30, 10], "score": [2.0, 1.0]}
+
+
+def test_lists_of_words_answer_as_postings_do(spark, monkeypatch):
+    docs, queries = _some_documents(spark)
+    placed = retrieval.word_index(docs, tuple(retrieval.KEYWORD_WEIGHTS))
+    index = retrieval.postings(docs, "id", "text")
+    by_terms = retrieval.bm25(index, retrieval.corpus_stats(index), queries, 20)
+    want = sorted(map(tuple, retrieval.fused_ranks([by_terms, retrieval.keyword(docs, queries, 20)], 30, 20).collect()))
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "BLOCK_WEIGHTS", 11)
+    assert sorted(map(tuple, by_terms.collect())) == sorted(map(tuple, retrieval.bm25_lists(placed, queries, 20).collect()))
+    again = retrieval.bm25(index, retrieval.corpus_stats(index), queries, 20)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, by_terms.collect()))
+    assert sorted(map(tuple, retrieval.term_fusion(placed, queries, 30, 20).collect())) == want and want
+    assert retrieval.term_fusion(placed.limit(0), queries).count() == 0 == retrieval.term_fusion(placed, queries.limit(0)).count()
