@@ -253,3 +253,42 @@ def test_lists_of_words_answer_as_postings_do(spark, monkeypatch):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, by_terms.collect()))
     assert sorted(map(tuple, retrieval.term_fusion(placed, queries, 30, 20).collect())) == want and want
     assert retrieval.term_fusion(placed.limit(0), queries).count() == 0 == retrieval.term_fusion(placed, queries.limit(0)).count()
+
+
+def test_snippets_look_for_a_term_once_in_a_text(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SNIPPET_TERMS", 3)
+    text = "The " + "a" * 150 + " DNS Lookup failed at 4 and 44; 锁 " + "b" * 150
+    docs = spark.createDataFrame([(1, "dns", text, None), (2, "dns lookup", None, None), (3, "dns", "x" * 130, None), (4, "", "", "dns")], "id long, title string, text string, category string")
+    asked = ["absent dns", "lookup dns", "锁 4", "44 absent failed", "zzz dns", "at", "dns"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, query string")
+    rows = retrieval.keyword(docs, queries, 5)
+    # the text in lower case is a column of its own, which the search for terms reads
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(text" in plan and not [line for line in plan.splitlines() if "lambdafunction" in line and "lower(text" in line]
+    got = {(r["qid"], r["id"]): r["snippet"] for r in rows.collect()}
+    around = lambda term: text[max(0, text.lower().index(term) - 80) : text.lower().index(term) + len(term) + 80].strip()
+    first = ["dns", "lookup", "锁", "44", "dns", "at", "dns"]
+    assert {q: s for (q, i), s in got.items() if i == 1} == {q: around(t) for q, t in enumerate(first)}
+    assert {got[q, 2] for q in (0, 1, 4, 6)} == {None} and {got[q, 3] for q in (0, 1, 4, 6)} == {"x" * 120}
+    assert {got[q, 4] for q in (0, 1, 4, 6)} == {""} and len(got) == 7 + 3 * 4
+
+
+def test_keyword_sums_in_halves_equal_brute_force_over_many_blocks():
+    rng = np.random.default_rng(3)
+    n_terms, lists = 70, [rng.choice(70, int(k), replace=False) for k in rng.integers(1, 70, 40)]
+    ends = np.cumsum([len(c) for c in lists])
+    asked = retrieval.Asked(np.arange(40), ends, np.concatenate([np.sort(c) for c in lists]), [str(i) for i in range(n_terms)], None)
+    winners = retrieval._Winners(asked, 4, np.uint8, retrieval._keyword_score, None)
+    ids, everything = rng.permutation(300), np.zeros((n_terms, 300), int)
+    for place in np.array_split(np.arange(300), 9):
+        hits = [(half, *np.nonzero(rng.random((n_terms, len(place))) < 0.3)) for half in (np.uint8(6), np.uint8(2), np.uint8(1))]
+        for half, codes, at in hits:
+            everything[codes, place[at]] += int(half)
+        block = retrieval._Hits(np.ones(n_terms, bool), len(place), 300, 10)
+        block.put(ids[place], np.ones(n_terms, bool), [(half, np.repeat(codes, 2), np.repeat(at, 2)) for half, codes, at in hits])
+        winners.meet(*block.lines())
+    for query, codes in enumerate(lists):
+        score = retrieval._keyword_score(everything[codes].sum(axis=0))
+        want = sorted(zip(-score, ids, strict=True))[:4]
+        found = winners.found[query]
+        assert list(zip(-found[1], found[0], strict=True)) == [w for w in want if w[0] < 0]
